@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import spm, token_output
+from . import pii, secrets, spm, token_output
 
 
 def vocabulary(name: str) -> str:
@@ -18,6 +18,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(documents(spark, sf_dir))
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(documents(spark, sf_dir))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.round_trip(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
 
@@ -27,5 +35,5 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read(spark, folder, shards)
 
 
-QUERIES = {f.__name__: f for f in (op6_sentencepiece, op8_token_output)}
+QUERIES = {f.__name__: f for f in (op2_pii, op4_secrets, op6_sentencepiece, op8_token_output)}
 ORACLES: dict[str, str] = {}

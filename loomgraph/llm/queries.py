@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii, secrets, spm, token_output
+from . import chat, decontaminate, pii, secrets, spm, token_output
 
 
 def vocabulary(name: str) -> str:
@@ -35,5 +35,14 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read(spark, folder, shards)
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op4_secrets, op6_sentencepiece, op8_token_output)}
-ORACLES: dict[str, str] = {}
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return chat.digest(rows.union(spark.sql(chat.ADDED)))
+
+
+QUERIES = {f.__name__: f for f in (op2_pii, op4_secrets, op6_sentencepiece, op8_token_output, op9_decontaminate, op10_chat_format)}
+ORACLES: dict[str, str] = {"op9_decontaminate": decontaminate.ORACLE, "op10_chat_format": chat.ORACLE}

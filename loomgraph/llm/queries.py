@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, pii, secrets, spm, token_output
+from . import chat, decontaminate, jaccard_join, pii, secrets, spm, token_output
 
 
 def vocabulary(name: str) -> str:
@@ -26,6 +26,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(documents(spark, sf_dir))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.groups(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.round_trip(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
 
@@ -44,5 +48,5 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(rows.union(spark.sql(chat.ADDED)))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op4_secrets, op6_sentencepiece, op8_token_output, op9_decontaminate, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op2_pii, op4_secrets, op5_ngram_jaccard, op6_sentencepiece, op8_token_output, op9_decontaminate, op10_chat_format)}
 ORACLES: dict[str, str] = {"op9_decontaminate": decontaminate.ORACLE, "op10_chat_format": chat.ORACLE}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, jaccard_join, pii, secrets, spm, token_output
+from . import chat, decontaminate, fingerprints, jaccard_join, pii, secrets, spm, token_output
 
 
 def vocabulary(name: str) -> str:
@@ -34,6 +34,10 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.round_trip(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare(documents(spark, sf_dir))
+
+
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, shards = token_output.token_files(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), end_id=2)
     return token_output.read(spark, folder, shards)
@@ -48,5 +52,5 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(rows.union(spark.sql(chat.ADDED)))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op4_secrets, op5_ngram_jaccard, op6_sentencepiece, op8_token_output, op9_decontaminate, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op2_pii, op4_secrets, op5_ngram_jaccard, op6_sentencepiece, op7_fingerprints, op8_token_output, op9_decontaminate, op10_chat_format)}
 ORACLES: dict[str, str] = {"op9_decontaminate": decontaminate.ORACLE, "op10_chat_format": chat.ORACLE}

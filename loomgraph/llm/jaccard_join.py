@@ -205,6 +205,8 @@ def _postings(prefixes: DataFrame, parts: int, star: int | None) -> DataFrame:
                 keep &= often >= HOT
                 if star:
                     keep &= (key == root)[row]
+            if not keep.any():
+                continue
             p = np.zeros(int(keep.sum()), _POSTING)
             row, often = row[keep], often[keep]
             p["t"], p["key"], p["root"], p["n"], p["most"], p["l"] = tokens[keep], key[row], root[row], n[row], most[keep], matches[row]

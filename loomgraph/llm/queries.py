@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, fingerprints, jaccard_join, language_id, pii, secrets, spm, token_output
+from . import brown_lm, chat, decontaminate, fingerprints, jaccard_join, language_id, pii, secrets, spm, token_output
 
 
 def vocabulary(name: str) -> str:
@@ -26,6 +26,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(documents(spark, sf_dir))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_lm.score(documents(spark, sf_dir))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(documents(spark, sf_dir))
 
@@ -56,5 +60,5 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(rows.union(spark.sql(chat.ADDED)))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_pii, op4_secrets, op5_ngram_jaccard, op6_sentencepiece, op7_fingerprints, op8_token_output, op9_decontaminate, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_pii, op3_lm_score, op4_secrets, op5_ngram_jaccard, op6_sentencepiece, op7_fingerprints, op8_token_output, op9_decontaminate, op10_chat_format)}
 ORACLES: dict[str, str] = {"op9_decontaminate": decontaminate.ORACLE, "op10_chat_format": chat.ORACLE}

@@ -181,6 +181,26 @@ def _prefixes(docs: DataFrame, counters) -> DataFrame:
 _POSTING = np.dtype([("t", "<u8"), ("key", "<i8"), ("root", "<i8"), ("n", "<i4"), ("most", "<i4"), ("l", "<i2"), ("g", "<i2"), ("x", "<i2"), ("y", "<i2")])
 
 
+def _packed(p: np.ndarray) -> bytes:
+    """Postings column by column, which the shuffle's compression likes; a root that is the class itself becomes 0."""
+    return b"".join((p[f] ^ p["key"] if f == "root" else p[f]).tobytes() for f in _POSTING.names)
+
+
+def _unpacked(raw: list[bytes]) -> np.ndarray:
+    out = np.empty(sum(map(len, raw)) // _POSTING.itemsize, _POSTING)
+    at = 0
+    for b in raw:
+        n, start = len(b) // _POSTING.itemsize, 0
+        part = out[at : at + n]
+        for f in _POSTING.names:
+            size = n * _POSTING[f].itemsize
+            part[f] = np.frombuffer(b, _POSTING[f], n, start)
+            start += size
+        part["root"] ^= part["key"]
+        at += n
+    return out
+
+
 def _postings(prefixes: DataFrame, parts: int, star: int | None) -> DataFrame:
     """Postings of rows ``key, n, l, prefix, frequency, root``, packed by the partition of their shingle.
 
@@ -224,7 +244,7 @@ def _postings(prefixes: DataFrame, parts: int, star: int | None) -> DataFrame:
             p, to = p[order], to[order]
             cut = np.flatnonzero(np.diff(to, prepend=-1))
             ends = np.append(cut[1:], len(p))
-            yield pa.RecordBatch.from_arrays([pa.array(to[cut].astype(np.int32)), pa.array([p[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())], ["part", "postings"])
+            yield pa.RecordBatch.from_arrays([pa.array(to[cut].astype(np.int32)), pa.array([_packed(p[a:b]) for a, b in zip(cut, ends, strict=True)], pa.binary())], ["part", "postings"])
 
     return prefixes.select("key", "n", "l", "prefix", "frequency", "root").mapInArrow(run, "part int, postings binary").repartition(parts, "part")
 
@@ -234,7 +254,8 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
     raw = [b for batch in batches for b in batch.column(1).to_pylist()]
     if not raw:
         return
-    p = np.frombuffer(b"".join(raw), _POSTING)
+    p = _unpacked(raw)
+    del raw
     order = np.lexsort((p["key"], p["y"], p["x"], p["t"]))
     p = p[order]
     same = (p["t"][1:] == p["t"][:-1]) & (p["x"][1:] == p["x"][:-1]) & (p["y"][1:] == p["y"][:-1])
@@ -291,9 +312,9 @@ def _all_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _filter_of(pairs: DataFrame):
-    """A bit filter of fixed size over the classes in ``pairs``; it may let others pass."""
+    """A bit filter of fixed size over the classes in ``pairs``, by the first bits of their ids; it may let others pass."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("key"))
-    bit = F.shiftrightunsigned(F.xxhash64("key"), 64 - FILTER_BITS)
+    bit = F.shiftrightunsigned("key", 64 - FILTER_BITS)
     words = ends.select((bit / 32).cast("int").alias("w"), (bit % 32).cast("int").alias("k")).groupBy("w").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("k"))).alias("bits"))
     out = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
     got = words.toArrow()
@@ -312,18 +333,14 @@ def _linked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             for chunk in W.chunks(batch.column(1), lower=True):
                 sets = Sets(chunk)
                 fresh = _fresh(sets, seen)
+                at = (sets.key[fresh].view(np.uint64) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+                fresh = fresh[(bits[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1) == 1]
                 if len(fresh):
-                    yield pa.RecordBatch.from_arrays([pa.array(sets.key[fresh]), pa.ListArray.from_arrays(*(pa.array(x) for x in _cut(sets, fresh)))], ["key", "shingles"])
-
-    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = wanted.value
-        for batch in batches:
-            bit = batch.column(1).to_numpy()
-            keep = (bits[bit >> 5] >> (bit & 31).astype(np.uint32)) & np.uint32(1)
-            yield batch.filter(pa.array(keep.astype(bool))).select([0, 2])
+                    flat, border = W.gather(sets.flat, sets.border[fresh], sets.size[fresh])
+                    lists = pa.ListArray.from_arrays(pa.array(border.astype(np.int32)), pa.array(flat.view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([pa.array(sets.key[fresh]), lists], ["key", "shingles"])
 
     rows = _text_of(docs).mapInArrow(run, "key long, shingles array<long>")
-    rows = rows.select("key", F.shiftrightunsigned(F.xxhash64("key"), 64 - FILTER_BITS).alias("bit"), "shingles").mapInArrow(sift, "key long, shingles array<long>")
     sets = rows.groupBy("key").agg(F.first("shingles").alias("shingles"))
     one = pairs.select("a", "b").join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a")
     two = one.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb")), "b")
@@ -331,11 +348,6 @@ def _linked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return two.select("a", "b", common.alias("c"), (F.size("sa") + F.size("sb")).alias("s")).filter("100 * c >= 75 * (s - c)").select("a", "b")
 
 
-def _cut(sets: Sets, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    flat, border = W.gather(sets.flat, sets.border[fresh], sets.size[fresh])
-    return border.astype(np.int32), flat.view(np.int64)
-
-
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``doc_id, key, n`` of all rows, and ``key, root`` of the classes that link with another."""
     spark = docs.sparkSession

@@ -138,7 +138,8 @@ def _survey(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
 
 
 def _prefixes(docs: DataFrame, counters) -> DataFrame:
-    """One row per class: key, n, l, prefix (array of shingles, in order), frequency (estimated, of each)."""
+    """A row per class and task that met it: key, n, l, prefix (array of shingles, in order), frequency (estimated, of
+    each).  Copies that different tasks met are merged where their postings meet."""
     schema = "key long, n int, l int, prefix array<long>, frequency array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,8 +175,7 @@ def _prefixes(docs: DataFrame, counters) -> DataFrame:
                 edge = pa.array(edge.astype(np.int32))
                 yield pa.RecordBatch.from_arrays([pa.array(sets.key[fresh]), pa.array(n.astype(np.int32)), pa.array(best.astype(np.int32)), pa.ListArray.from_arrays(edge, pa.array(tokens.view(np.int64))), pa.ListArray.from_arrays(edge, pa.array(often.astype(np.int32)))], ["key", "n", "l", "prefix", "frequency"])
 
-    rows = _text_of(docs).mapInArrow(run, schema)
-    return stored(rows.dropDuplicates(["key"]), "prefixes")
+    return stored(_text_of(docs).mapInArrow(run, schema), "prefixes")
 
 
 _POSTING = np.dtype([("t", "<u8"), ("key", "<i8"), ("root", "<i8"), ("n", "<i4"), ("most", "<i4"), ("l", "<i2"), ("g", "<i2"), ("x", "<i2"), ("y", "<i2")])
@@ -259,6 +259,9 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
     order = np.lexsort((p["key"], p["y"], p["x"], p["t"]))
     p = p[order]
     same = (p["t"][1:] == p["t"][:-1]) & (p["x"][1:] == p["x"][:-1]) & (p["y"][1:] == p["y"][:-1])
+    once = np.concatenate([[True], ~(same & (p["key"][1:] == p["key"][:-1]))])
+    p = p[once]
+    same = (p["t"][1:] == p["t"][:-1]) & (p["x"][1:] == p["x"][:-1]) & (p["y"][1:] == p["y"][:-1])
     cut = np.flatnonzero(np.concatenate([[True], ~same]))
     ends = np.append(cut[1:], len(p))
     for a, b in zip(cut[ends - cut > 1], ends[ends - cut > 1], strict=True):
@@ -311,9 +314,8 @@ def _all_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _emit(pairs)
 
 
-def _filter_of(pairs: DataFrame):
-    """A bit filter of fixed size over the classes in ``pairs``, by the first bits of their ids; it may let others pass."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("key"))
+def _filter_of(ends: DataFrame) -> np.ndarray:
+    """A bit filter of fixed size over the classes ``key``, by the first bits of their ids; it may let others pass."""
     bit = F.shiftrightunsigned("key", 64 - FILTER_BITS)
     words = ends.select((bit / 32).cast("int").alias("w"), (bit % 32).cast("int").alias("k")).groupBy("w").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("k"))).alias("bits"))
     out = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
@@ -322,10 +324,33 @@ def _filter_of(pairs: DataFrame):
     return out
 
 
+def _may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = (keys.view(np.uint64) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+    return (bits[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1) == 1
+
+
+def _rooted(prefixes: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """``prefixes`` with the component ``root`` of each class.  Only rows that the filter of linked classes lets pass are
+    joined; all others are their own root and stay where they are."""
+    if roots is None:
+        return prefixes.withColumn("root", F.col("key"))
+    known = prefixes.sparkSession.sparkContext.broadcast(_filter_of(roots.select("key")))
+
+    def sift(wanted: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(_may_hold(known.value, batch.column(0).to_numpy()) == wanted))
+
+        return prefixes.mapInArrow(run, prefixes.schema)
+
+    joined = sift(True).join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    return sift(False).withColumn("root", F.col("key")).unionByName(joined)
+
+
 def _linked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs ``a, b`` of classes that link, by their whole sets."""
     spark = docs.sparkSession
-    wanted = spark.sparkContext.broadcast(_filter_of(pairs))
+    wanted = spark.sparkContext.broadcast(_filter_of(pairs.select(F.explode(F.array("a", "b")).alias("key"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = wanted.value, set()
@@ -333,8 +358,7 @@ def _linked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             for chunk in W.chunks(batch.column(1), lower=True):
                 sets = Sets(chunk)
                 fresh = _fresh(sets, seen)
-                at = (sets.key[fresh].view(np.uint64) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-                fresh = fresh[(bits[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1) == 1]
+                fresh = fresh[_may_hold(bits, sets.key[fresh])]
                 if len(fresh):
                     flat, border = W.gather(sets.flat, sets.border[fresh], sets.size[fresh])
                     lists = pa.ListArray.from_arrays(pa.array(border.astype(np.int32)), pa.array(flat.view(np.int64)))
@@ -358,7 +382,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     hottest = int(max(counters.max() - np.median(counters), 0))
     star = 0
     while hottest >= HOT:
-        with_root = prefixes.withColumn("root", F.col("key")) if roots is None else prefixes.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+        with_root = _rooted(prefixes, roots)
         pairs = settle(_postings(with_root, parts, star).mapInArrow(_stars, _PAIRS).select("a", "b").distinct())
         found = settle(_linked(docs, pairs))
         edges = found if edges is None else edges.union(found)
@@ -366,7 +390,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         star += 1
         if hottest < GROUP**star:
             break
-    with_root = prefixes.withColumn("root", F.col("key")) if roots is None else prefixes.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    with_root = _rooted(prefixes, roots)
     pairs = _postings(with_root, parts, None).mapInArrow(_all_pairs, _PAIRS).groupBy("a", "b").agg(F.count("*").alias("c"), F.max("least").alias("least"))
     found = settle(_linked(docs, settle(pairs.filter("c >= least").select("a", "b"))))
     edges = found if edges is None else edges.union(found)
@@ -390,18 +414,21 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows without words form no group and stay."""
     names = docs.columns
     survey, roots = classes(docs)
-    first = survey.filter("key is not null").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("low"))
-    rooted = first.join(roots, "key", "left").select("key", "low", F.coalesce("root", "key").alias("root"))
-    win = rooted.groupBy("root").agg(F.min(F.struct("low", "key")).alias("w")).select(F.col("w.key").alias("__class"), F.col("w.low.doc_id").alias("__doc"))
-    keyed = with_class(docs)
-    kept = keyed.filter("__class is not null").join(settle(win), "__class").filter(F.col("doc_id").eqNullSafe(F.col("__doc"))).dropDuplicates(["__class"])
-    rest = keyed.filter("__class is null")
+    first = survey.filter("key is not null").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("low"), F.count("*").alias("c"))
+    rooted = settle(first.join(roots, "key", "left").select("key", "low", "c", "root").filter("c > 1 or root is not null"))
+    win = rooted.groupBy(F.coalesce("root", "key").alias("root")).agg(F.min(F.struct("low", "key")).alias("w")).select(F.col("w.key").alias("__class"), F.col("w.low.doc_id").alias("__doc"))
+    # only rows whose class may have copies or links are moved; all others stay where they are
+    bits = docs.sparkSession.sparkContext.broadcast(_filter_of(rooted.select("key")))
+    keyed = with_class(docs, bits, True)
+    single = keyed.join(rooted.select(F.col("key").alias("__class")), "__class", "left_anti")
+    kept = keyed.join(settle(win), "__class").filter(F.col("doc_id").eqNullSafe(F.col("__doc"))).dropDuplicates(["__class"])
     pick = [F.col(f"`{n}`") for n in names]
-    return kept.select(*pick).unionByName(rest.select(*pick))
+    return with_class(docs, bits, False).select(*pick).unionByName(single.select(*pick)).unionByName(kept.select(*pick))
 
 
-def with_class(docs: DataFrame) -> DataFrame:
-    """``docs`` with the class id of each row as ``__class``."""
+def with_class(docs: DataFrame, bits, wanted: bool) -> DataFrame:
+    """The rows of ``docs`` whose class the broadcast filter may hold (or surely doesn't hold, as all without words), with
+    the class id as ``__class``."""
     from pyspark.sql import types as T
 
     names = docs.columns
@@ -413,6 +440,7 @@ def with_class(docs: DataFrame) -> DataFrame:
             for chunk in W.chunks(batch.column(at), lower=True):
                 sets = Sets(chunk)
                 part = batch.slice(chunk.first, chunk.n)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sets.key, mask=sets.size == 0)], [*names, "__class"])
+                keep = (_may_hold(bits.value, sets.key) & (sets.size > 0)) == wanted
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sets.key, mask=sets.size == 0)], [*names, "__class"]).filter(pa.array(keep))
 
     return docs.mapInArrow(run, schema)

@@ -26,7 +26,8 @@ def betweenness(g: Graph, sources: list[int], include_source: bool = True, engin
 
 def _one(g: Graph, source: int, include_source: bool) -> DataFrame:
     edges = g.edges.select("src", "dst")
-    seen = settle(g.find_vertex(source).select("id", F.lit(0).alias("depth"), F.lit(1.0).alias("sigma")))
+    # abs makes a new attribute: frames of several sources are put together, and those of one vertex column clash
+    seen = settle(g.find_vertex(source).select(F.abs("id").alias("id"), F.lit(0).alias("depth"), F.lit(1.0).alias("sigma")))
     depth = 0
     while seen.filter(F.col("depth") == depth).limit(1).count():
         front = seen.filter(F.col("depth") == depth).select(F.col("id").alias("src"), "sigma")

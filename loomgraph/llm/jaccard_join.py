@@ -105,6 +105,7 @@ def _survey(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     schema = "doc_id long, key long, n long, block int, counts binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.forget()
         counters, seen = np.zeros(1 << COUNTER_BITS, np.int64), set()
         names = ["doc_id", "key", "n", "block", "counts"]
         for batch in batches:
@@ -181,6 +182,17 @@ def _prefixes(docs: DataFrame, counters) -> DataFrame:
 _POSTING = np.dtype([("t", "<u8"), ("key", "<i8"), ("root", "<i8"), ("n", "<i4"), ("most", "<i4"), ("l", "<i2"), ("g", "<i2"), ("x", "<i2"), ("y", "<i2")])
 
 
+def _slices(batches: Iterator[pa.RecordBatch], lists: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that a part has at most ``limit`` list elements (or one row)."""
+    for batch in batches:
+        border = batch.column(lists).offsets.to_numpy()
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(border, border[at] + limit, "right")) - 1)
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def _packed(p: np.ndarray) -> bytes:
     """Postings column by column, which the shuffle's compression likes; a root that is the class itself becomes 0."""
     return b"".join((p[f] ^ p["key"] if f == "root" else p[f]).tobytes() for f in _POSTING.names)
@@ -208,13 +220,14 @@ def _postings(prefixes: DataFrame, parts: int, star: int | None) -> DataFrame:
     many postings that meet here; this posting's own block is ``g``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        W.forget()
+        for batch in _slices(batches, 3, 400_000):
             key, n, matches = (batch.column(k).to_numpy() for k in (0, 1, 2))
             root = batch.column(5).to_numpy()
             lists, often = batch.column(3), batch.column(4)
             border = lists.offsets.to_numpy().astype(np.int64)
             tokens = lists.values.to_numpy()[border[0] : border[-1]].view(np.uint64)
-            often = often.values.to_numpy()[often.offsets[0].as_py() : often.offsets[-1].as_py()].astype(np.int64)
+            often = often.values.to_numpy()[often.offsets[0].as_py() : often.offsets[len(key)].as_py()].astype(np.int64)
             length = np.diff(border)
             row = np.repeat(np.arange(len(key)), length)
             place = np.arange(len(tokens)) - np.repeat(border[:-1] - border[0], length)
@@ -251,13 +264,13 @@ def _postings(prefixes: DataFrame, parts: int, star: int | None) -> DataFrame:
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
     """Postings that share a shingle (and blocks), at least two of them."""
+    W.forget()
     raw = [b for batch in batches for b in batch.column(1).to_pylist()]
     if not raw:
         return
     p = _unpacked(raw)
     del raw
-    order = np.lexsort((p["key"], p["y"], p["x"], p["t"]))
-    p = p[order]
+    p = p[np.lexsort((p["key"], p["y"], p["x"], p["t"]))]
     same = (p["t"][1:] == p["t"][:-1]) & (p["x"][1:] == p["x"][:-1]) & (p["y"][1:] == p["y"][:-1])
     once = np.concatenate([[True], ~(same & (p["key"][1:] == p["key"][:-1]))])
     p = p[once]

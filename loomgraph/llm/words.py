@@ -179,3 +179,15 @@ class Ragged:
 
 #: What a worker keeps between tasks, by operator and parameters.
 KEPT: dict = {}
+
+
+def forget() -> None:
+    """Drop what operators before this one kept in the worker, and give free memory back to the system."""
+    import ctypes
+
+    if KEPT:
+        KEPT.clear()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps its memory
+        pass

@@ -4,16 +4,20 @@ Tokens are words (lower-cased A-Z, split at ASCII white space) and one end for e
 end as history.  Training texts are those whose crc32(doc_id as text) mod 7 is not 2, all of them and whole.
 
 1. All training tokens are counted, each task summing its own before the shuffle; the table of counts stays
-   distributed.  The ``HEAD`` most frequent words go to the workers, a fixed number whatever the corpus.
+   distributed.
 2. Bigrams of the ``CLUSTERED`` most frequent words, of the end and of "any other word" are counted over all training
-   texts.  Exchange clustering assigns those words to ``CLASSES`` classes: each word in turn moves to the class that
+   texts.  Exchange clustering finds ``CLASSES`` classes of those words: each word in turn moves to the class that
    gives the class bigram model the highest likelihood, until none moves or ``ROUNDS`` are over.
-3. P(text) = product of P(class | class before) * P(word | class).  Transitions are smoothed by the class frequencies
-   (weight ``ALPHA``); the end is a class of its own; a clustered word has its share of its class.  All
-   other words are one class with emission (c + 1) / (N' + V' + 1), c the word's count, N' and V' the class's tokens
-   and words, so an unseen word has the same chance as a word seen no time and all sums are one.
-4. A scoring pass adds up everything that the workers know.  Words that they don't know, rarer than every
-   head word, are looked up by a join with the table of counts, summed per text.
+3. Every other training word seen at least ``SEEN`` times gets one of these classes: its neighbours' classes are
+   counted over all training texts, and it goes where the likelihood gains most, by the same measure as in 2, against the
+   classes found there.  Counts and classes stay distributed; the ``HEAD`` most frequent words go to the workers, a
+   fixed number whatever the corpus, the others are joined.  Words seen less often stand for the unseen ones: both
+   are one class of their own.
+4. P(text) = product of P(class | class before) * P(word | class).  Transitions are counted over all training texts with
+   the classes of all words, and smoothed by the class frequencies (weight ``ALPHA``); the end is a class of its own; a word
+   has its share of its class.  The class of rare and unseen words has emission (c + 1) / (N' + V' + 1), c the word's
+   count, N' and V' the class's tokens and words, so an unseen word has the same chance as a word seen no time and
+   all sums are one.
 
 Words are named by 64-bit hashes.
 
@@ -39,6 +43,10 @@ CLUSTERED = 1_000
 CLASSES = 48
 ROUNDS = 8
 ALPHA = 20.0
+#: Words seen less often have no class of their own but model the unseen ones.
+SEEN = 2
+#: In a sequence of classes: a word that the workers don't know.
+OPEN = 255
 #: The end's name; hashes of words are shifted away from it.
 END = np.uint64(0)
 
@@ -178,21 +186,110 @@ def transitions(bigrams: np.ndarray, of: np.ndarray, classes: int) -> np.ndarray
     return np.log10(p)
 
 
-def fit(rows: DataFrame) -> tuple[DataFrame, dict]:
-    """The distributed table ``word, c``, and what workers need, of fixed size."""
-    spark = rows.sparkSession
+def gains(word: np.ndarray, pair: np.ndarray, count: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """What the likelihood gains by each class for the words 0, 1, ... in ``word`` (ascending), up to a constant of each word.
+
+    ``pair``: class before * all classes + class after, of ``count`` occurrences; ``m``: class bigrams without these words.
+    The last two classes (other, end) are contexts only."""
+    total, classes, n = len(m), len(m) - 2, int(word[-1]) + 1
+    phi = lambda x: x * np.log(np.maximum(x, 1.0))  # noqa: E731 - counts are 0 or at least 1
+    sides = []
+    for side, at in ((m[:, :classes], pair // total), (m[:classes].T, pair % total)):
+        key, c = _sum([word * total + at], [count])
+        sides.append((key // total, key % total, c.astype(float), side))
+    out = np.zeros((n, classes))
+    for w, ctx, c, side in sides:
+        have = side[ctx]
+        gain = phi(have + c[:, None]) - phi(have)
+        out += np.add.reduceat(gain, np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]])), axis=0)
+    # a class's bigrams with itself take up both sides
+    l, r = (np.zeros((n, total)) for _ in range(2))
+    for x, (w, ctx, c, _) in zip((l, r), sides, strict=True):
+        x[w, ctx] = c
+    l, r, d = l[:, :classes], r[:, :classes], np.diag(m)[:classes]
+    out += phi(d + l + r) - phi(d + l) - phi(d + r) + phi(d)
+    all_ = np.bincount(word, count, n)[:, None]
+    for size in (m.sum(axis=1)[:classes], m.sum(axis=0)[:classes]):
+        out -= phi(size + all_) - phi(size)
+    return out
+
+
+def _classes(rows: DataFrame, core: np.ndarray, of: np.ndarray, m: np.ndarray) -> DataFrame:
+    """``word, c, class`` of all training words but those in ``core``; rarer ones than ``SEEN`` are of class other."""
+    total = len(m)
+    known = rows.sparkSession.sparkContext.broadcast((core, of, m))
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        core, of, _ = known.value
+        order = np.argsort(core)
+        sorted_core = core[order]
+        for batch in batches:
+            for chunk in W.chunks(batch.column(0), lower=True):
+                tokens, _ = _tokens(chunk)
+                number = _number(tokens, sorted_core, order)
+                cls = of[number]
+                at = np.flatnonzero(number == len(core))
+                word, pair = tokens[at], np.where(at > 0, cls[at - 1], total - 1) * total + cls[at + 1]
+                order_ = np.lexsort((pair, word))
+                word, pair = word[order_], pair[order_]
+                cut = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (pair[1:] != pair[:-1])])) if len(word) else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(word[cut].view(np.int64)), pa.array(pair[cut].astype(np.int32)), pa.array(np.diff(np.append(cut, len(word))))], ["word", "pair", "c"])
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = known.value[2]
+        word, pair, c = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def out(word, pair, c):
+            heads = np.concatenate([[True], word[1:] != word[:-1]])
+            place, words = np.cumsum(heads) - 1, word[heads]
+            times = np.bincount(place, c, len(words)).astype(np.int64)
+            cls = np.full(len(words), total - 2)
+            often = times >= SEEN
+            if often.any():
+                use = often[place]
+                cls[often] = gains((np.cumsum(often) - 1)[place[use]], pair[use], c[use], m).argmax(axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(words), pa.array(times), pa.array(cls.astype(np.int32))], ["word", "c", "class"])
+
+        for batch in batches:
+            for k in range(0, batch.num_rows, 10_000):
+                part = batch.slice(k, 10_000)
+                word, pair, c = (np.concatenate([x, part.column(i).to_numpy().astype(np.int64)]) for i, x in enumerate((word, pair, c)))
+                last = int(np.searchsorted(word, word[-1]))  # the last word may go on in the next rows
+                if last:
+                    yield out(word[:last], pair[:last], c[:last])
+                    word, pair, c = word[last:], pair[last:], c[last:]
+                if len(word) > 100_000:  # one word so far: as many rows as pairs of classes at most
+                    pair, c = _sum([pair], [c])
+                    word = word[: len(pair)]
+        if len(word):
+            yield out(word, pair, c)
+
+    found = rows.filter("not held_out").select("text").mapInArrow(contexts, "word long, pair int, c long")
+    return found.repartition("word").sortWithinPartitions("word").mapInArrow(assign, "word long, c long, class int")
+
+
+def vocabulary(rows: DataFrame) -> tuple[DataFrame, dict]:
+    """The distributed table ``word, c, class`` of all but the clustered words, and what workers need, of fixed size."""
+    sc = rows.sparkSession.sparkContext
     counts = stored(_unigrams(rows), "unigrams")
     whole = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.sum(F.when(F.col("word") == 0, F.col("c"))), F.lit(0)).alias("ends")).first()
-    top = counts.filter("word <> 0").orderBy(F.desc("c"), "word").limit(HEAD).toArrow()
-    head, c = top.column("word").to_numpy().view(np.uint64), top.column("c").to_numpy().astype(np.int64)
-    clustered = head[:CLUSTERED]
-    bigrams = _bigrams(rows, spark.sparkContext.broadcast(clustered))
-    classes = max(1, min(CLASSES, len(clustered)))
+    top = counts.filter((F.col("word") != 0) & (F.col("c") >= SEEN)).orderBy(F.desc("c"), "word").limit(min(HEAD, CLUSTERED)).toArrow()
+    core, core_c = top.column("word").to_numpy().view(np.uint64), top.column("c").to_numpy().astype(np.int64)
+    bigrams = _bigrams(rows, sc.broadcast(core))
+    classes = max(1, min(CLASSES, len(core)))
     of = exchange(bigrams, classes, ROUNDS)
-    size = np.bincount(of[: len(clustered)], c[: len(clustered)], minlength=classes)
-    rest = whole.n - whole.ends - int(c[: len(clustered)].sum())
-    kinds = whole.v - (whole.ends > 0) - len(clustered)
-    emission = np.log10(c[: len(clustered)] / size[of[: len(clustered)]]) if len(clustered) else np.zeros(0)
+    member = np.zeros((len(of), classes + 2))
+    member[np.arange(len(of)), of] = 1
+    table = stored(_classes(rows, core, of, member.T @ bigrams @ member), "classes")
+    size, kinds = np.bincount(of[: len(core)], core_c, classes + 1).astype(np.int64), 0
+    for r in table.groupBy("class").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():
+        size[r["class"]] += r.n
+        kinds = r.v if r["class"] == classes else kinds
+    more = table.orderBy(F.desc("c"), "word").limit(HEAD - len(core)).toArrow()
+    head = np.concatenate([core, more.column("word").to_numpy().view(np.uint64)])
+    c = np.concatenate([core_c, more.column("c").to_numpy().astype(np.int64)])
+    cls = np.concatenate([of[: len(core)], more.column("class").to_numpy().astype(np.int64)])
+    share = np.log10(np.append(np.maximum(size[:classes], 1), size[classes] + kinds + 1.0))
     order = np.argsort(head)
     model = {
         "n": int(whole.n),
@@ -200,24 +297,36 @@ def fit(rows: DataFrame) -> tuple[DataFrame, dict]:
         "ends": int(whole.ends),
         "head": head[order],
         "count": c[order],
-        "class": np.concatenate([of[: len(clustered)], np.full(len(head) - len(clustered), classes)]).astype(np.int64)[order],
-        "emission": np.concatenate([emission, np.log10(c[len(clustered) :] + 1.0) - np.log10(rest + kinds + 1.0)])[order],
-        "unseen": -np.log10(rest + kinds + 1.0),
+        "class": cls[order],
+        "emission": (np.log10(c + (cls == classes)) - share[cls])[order],
+        "share": share,
+        "unseen": -share[classes],
         "other": classes,
-        "step": transitions(bigrams, of, classes),
     }
-    return counts, model
+    return table, model
 
 
-_SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>, times array<int>"
+def _flat(sequences: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of a binary column, and the borders between rows."""
+    _, edge, data = sequences.buffers()
+    edge = np.frombuffer(edge, np.int32)[sequences.offset : sequences.offset + len(sequences) + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return data[edge[0] : edge[-1]], edge - edge[0]
 
 
-def score(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigrams), score (the class model), both
-    log10 probabilities, and perplexity (of the class model, per token) of every document."""
-    rows = _rows(docs)
-    counts, model = fit(rows)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _binary(flat: np.ndarray, border: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(border) - 1, [None, pa.py_buffer(border.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(flat))])
+
+
+_TAGGED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, emit double, classes binary, rare array<long>, place array<int>"
+
+
+def tagged(rows: DataFrame, table: DataFrame, model: dict) -> DataFrame:
+    """``doc_id, held_out, n_tokens, n_known, base, emit, classes``: of every document the add-one score, log10 of its
+    words' emissions, and a byte for each token that names its class."""
+    sc = rows.sparkSession.sparkContext
+    shared = sc.broadcast(model)
+    other = model["other"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -228,38 +337,96 @@ def score(docs: DataFrame) -> DataFrame:
                 tokens, border = _tokens(chunk)
                 at, known = W.find(m["head"], tokens)
                 end = tokens == END
-                rare = ~known & ~end
+                rare = np.flatnonzero(~known & ~end)
                 if len(m["head"]):
-                    c = np.where(known, m["count"][at], 0)
-                    of = np.where(known, m["class"][at], m["other"])
-                    emit = np.where(known, m["emission"][at], m["unseen"])
+                    c, of = np.where(known, m["count"][at], 0), np.where(known, m["class"][at], OPEN)
                 else:
-                    c, of, emit = np.zeros(len(tokens), np.int64), np.full(len(tokens), m["other"]), np.full(len(tokens), m["unseen"])
-                c[end], of[end], emit[end] = m["ends"], m["other"] + 1, 0.0
-                before = np.concatenate([[m["other"] + 1], of[:-1]])
-                total = W.per_doc(np.stack([np.log10(c + 1.0) - per_token, emit + m["step"][before, of]], axis=1), border)
+                    c, of = np.zeros(len(tokens), np.int64), np.full(len(tokens), OPEN)
+                c[end], of[end] = m["ends"], other + 1
+                emit = np.where(known, m["emission"][at], 0.0) if len(m["head"]) else np.zeros(len(tokens))
+                total = W.per_doc(np.stack([np.log10(c + 1.0) - per_token, emit], axis=1), border)
                 seen = W.per_doc((c > 0).astype(np.int64), border)
-                doc = np.repeat(np.arange(chunk.n), np.diff(border))[rare]
-                words = tokens[rare]
-                order = np.lexsort((words, doc))
-                words, doc = words[order], doc[order]
-                cut = np.flatnonzero(np.concatenate([[True], (words[1:] != words[:-1]) | (doc[1:] != doc[:-1])])) if len(words) else np.zeros(0, np.int64)
-                times = np.diff(np.append(cut, len(words))).astype(np.int32)
-                edge = pa.array(np.searchsorted(doc[cut], np.arange(chunk.n + 1)).astype(np.int32))
+                doc = np.searchsorted(border, rare, "right") - 1
+                edge = pa.array(np.searchsorted(doc, np.arange(chunk.n + 1)).astype(np.int32))
                 ids = number + np.arange(chunk.n)
                 number += chunk.n
                 part = batch.slice(chunk.first, chunk.n)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids), part.column(0), part.column(1), pa.array(np.diff(border)), pa.array(seen), pa.array(total[:, 0]), pa.array(total[:, 1]), pa.ListArray.from_arrays(edge, pa.array(words[cut].view(np.int64))), pa.ListArray.from_arrays(edge, pa.array(times))],
-                    [x.split()[0] for x in _SCORED.split(", ")],
-                )
-
-    known = stored(rows.mapInArrow(run, _SCORED), "scored")
-    rare = known.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
-    found = rare.join(counts, "word").groupBy("row").agg(F.sum("times").alias("seen"), F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("more"))
-    out = known.drop("rare", "times").join(found, "row", "left")
-    more, score = F.coalesce("more", F.lit(0.0)), F.col("score") + F.coalesce("more", F.lit(0.0))
+                    [pa.array(ids), part.column(0), part.column(1), pa.array(np.diff(border)), pa.array(seen), pa.array(total[:, 0]), pa.array(total[:, 1]), _binary(of.astype(np.uint8), border), pa.ListArray.from_arrays(edge, pa.array(tokens[rare].view(np.int64))), pa.ListArray.from_arrays(edge, pa.array((rare - border[doc]).astype(np.int32)))],
+                    [x.split()[0] for x in _TAGGED.split(", ")],
+                )
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, border = _flat(batch.column("classes"))
+            flat = flat.copy()
+            for name in ("found", "place"):
+                if batch.column(name).null_count == len(batch):
+                    break
+            else:
+                place = batch.column("place")
+                row = np.repeat(np.arange(len(batch)), np.nan_to_num(place.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))
+                flat[border[row] + place.flatten().to_numpy()] = batch.column("found").flatten().to_numpy()
+            flat[flat == OPEN] = other
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], _binary(flat, border)], batch.schema.names[:7])
+
+    first = stored(rows.mapInArrow(run, _TAGGED), "tagged")
+    rare = first.select("row", F.explode(F.arrays_zip("rare", "place")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.place").alias("place"))
+    share = F.element_at(F.array(*[F.lit(float(x)) for x in model["share"]]), F.col("class") + 1)
+    emit = F.log10(F.col("c") + F.when(F.col("class") == other, 1.0).otherwise(0.0)) - share
+    found = rare.join(table, "word").groupBy("row").agg(F.count("*").alias("seen"), F.sum(F.log10(F.col("c") + 1.0)).alias("more"), F.sum(emit).alias("emitted"), F.collect_list(F.struct("class", "place")).alias("x"))
+    out = first.withColumn("n_rare", F.size("rare")).drop("rare", "place").join(found, "row", "left").select(
+        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("seen", F.lit(0))).alias("n_known"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base"),
+        (F.col("emit") + F.coalesce("emitted", F.lit(0.0)) + (F.col("n_rare") - F.coalesce("seen", F.lit(0))) * float(model["unseen"])).alias("emit"), "classes", F.col("x.class").alias("found"), F.col("x.place").alias("place"),
+    )
+    return stored(out.mapInArrow(fill, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, emit double, classes binary"), "filled")
+
+
+def _pairs(docs: DataFrame, total: int) -> np.ndarray:
+    """Counts of (class, next class) in all training texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(total * total, np.int64)
+        for batch in batches:
+            if not len(batch):
+                continue
+            flat, _ = _flat(batch.column(0))
+            flat = flat.astype(np.int64)
+            out += np.bincount(np.concatenate([[total - 1], flat[:-1]]) * total + flat, minlength=total * total)
+        at = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out[at])], ["pair", "c"])
+
+    found = docs.filter("not held_out").select("classes").mapInArrow(run, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toArrow()
+    out = np.zeros(total * total)
+    out[found.column("pair").to_numpy()] = found.column("c").to_numpy()
+    return out.reshape(total, total)
+
+
+def fit(rows: DataFrame) -> tuple[DataFrame, dict]:
+    """All documents with the classes of their tokens, as in :func:`tagged`, and the model."""
+    table, model = vocabulary(rows)
+    filled = tagged(rows, table, model)
+    total = model["other"] + 2
+    return filled, model | {"step": transitions(_pairs(filled, total), np.arange(total), model["other"])}
+
+
+def score(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigrams), score (the class model), both
+    log10 probabilities, and perplexity (of the class model, per token) of every document."""
+    filled, model = fit(_rows(docs))
+    shared = docs.sparkSession.sparkContext.broadcast(model["step"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = shared.value
+        for batch in batches:
+            if len(batch):
+                flat, border = _flat(batch.column(6))
+                before = np.concatenate([np.full(1, len(step) - 1, np.uint8), flat[:-1]])
+                total = batch.column(5).to_numpy() + W.per_doc(step[before, flat], border)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(total)], batch.schema.names[:6])
+
+    out = filled.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, emit double")
     return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("seen", F.lit(0))).alias("n_known"), F.lit(model["n"]).cast("long").alias("train_tokens"),
-        (F.col("base") + more).alias("base_score"), score.alias("score"), F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"),
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(model["n"]).cast("long").alias("train_tokens"),
+        F.col("base").alias("base_score"), F.col("emit").alias("score"), F.pow(F.lit(10.0), -F.col("emit") / F.col("n_tokens")).alias("perplexity"),
     )

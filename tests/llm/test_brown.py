@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from loomgraph.llm import brown_lm as B
@@ -89,3 +90,39 @@ def test_no_single_move_raises_the_likelihood():
 
 def test_empty(spark):
     assert B.score(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_every_word_seen_twice_has_the_class_of_best_gain(spark, monkeypatch):
+    monkeypatch.setattr(B, "CLUSTERED", 30)
+    monkeypatch.setattr(B, "HEAD", 100)
+    monkeypatch.setattr(B, "CLASSES", 4)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 40").select("doc_id", "text").repartition(3)
+    texts = [tokens(r.text) for r in docs.collect() if not held(r.doc_id)]
+    c = Counter(w for t in texts for w in t if w)
+    rows = B._rows(docs)
+    table, model = B.vocabulary(rows)
+    found = {r.word: (r.c, r["class"]) for r in table.collect()}
+    name = lambda w: int(B._tokens(next(B.W.chunks(pa.array([w]), lower=True)))[0][:1].view(np.int64)[0])
+    names = {w: name(w) for w in c}
+    core = {w: int(model["class"][np.flatnonzero(model["head"].view(np.int64) == names[w])[0]]) for w in c if names[w] not in found}
+    assert len(core) == 30 and len(c) == len(core) + len(found) > 1000
+    assert all(found[names[w]][0] == c[w] and (found[names[w]][1] < 4) == (c[w] >= 2) for w in c if w not in core)
+    m, ctx = np.zeros((6, 6)), {}
+    for t in texts:
+        cls = [5 if w is None else core.get(w, 4) for w in t]
+        for k, w in enumerate(t):
+            m[cls[k - 1] if k else 5, cls[k]] += 1
+            if w and w not in core:
+                ctx.setdefault(w, []).append((cls[k - 1] if k else 5, cls[k + 1]))
+    f = lambda x: (x[x > 0] * np.log(x[x > 0])).sum()
+    for w in [w for w in ctx if c[w] >= 2][:300]:
+        gain = []
+        for k in range(4):
+            x, row, col = m.copy(), m.sum(1), m.sum(0)
+            for a, b in ctx[w]:
+                x[a, k] += 1
+                x[k, b] += 1
+            row[k] += c[w]
+            col[k] += c[w]
+            gain.append(f(x) - f(row) - f(col))
+        assert gain[found[names[w]][1]] >= max(gain) - 1e-6

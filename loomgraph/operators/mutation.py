@@ -121,21 +121,95 @@ def apply_txn(vertices: DataFrame, edges: DataFrame, ops: DataFrame, strict: boo
     return settle(_final_vertices(vertices, there)), settle(_final_edges(edges, there, effective)), said
 
 
+def _vertices_before(vertices: DataFrame, log: DataFrame) -> DataFrame:
+    """``id, txn_id``, one row for each vertex that a transaction names, with ``is`` (existence before it), ``cut`` (number of its
+    last deletion in it) and ``cut_txn`` (the last transaction before it with one).  Only ``live`` operations count."""
+    mine = F.col("live") & F.col("op").isin(*VERTEX_OPS)
+    named = log.select(F.col("v").alias("id"), "txn_id", F.when(mine, F.struct("op_seq", (F.col("op") == "INSERT").alias("there"))).alias("last"), F.when(mine & (F.col("op") == "DELETE"), F.col("op_seq")).alias("cut"))
+    ends = log.filter(F.col("op").isin(*EDGE_OPS)).select(F.col("e").alias("id"), "txn_id", F.lit(None).alias("last"), F.lit(None).alias("cut"))
+    first = vertices.select("id", F.lit(None).alias("txn_id"), F.struct(F.lit(-1).cast("long").alias("op_seq"), F.lit(True).alias("there")).alias("last"), F.lit(None).alias("cut"))
+    states = named.union(ends).union(first).groupBy("id", "txn_id").agg(F.max("last").alias("last"), F.max("cut").alias("cut"))
+    w = Window.partitionBy("id").orderBy(F.asc_nulls_first("txn_id")).rowsBetween(Window.unboundedPreceding, -1)
+    there = F.coalesce(F.last("last.there", ignorenulls=True).over(w), F.lit(False))
+    cut_txn = F.last(F.when(F.col("cut").isNotNull(), F.col("txn_id")), ignorenulls=True).over(w)
+    return states.select("id", "txn_id", there.alias("is"), "cut", cut_txn.alias("cut_txn")).filter("txn_id is not null")
+
+
+def _pairs_before(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``v, e, txn_id``, one row for each pair that a transaction names (none: as given), with ``before, after`` (existence of
+    the edge before and after it) and its ``weight`` after it.
+
+    A transaction maps absent and present to a state each: it sets, keeps or turns.  So the state is the last one set,
+    turned as often as asked since."""
+    insert = F.col("op") == "INSERT_EDGE"
+    first = edges.groupBy(F.col("src").alias("v"), F.col("dst").alias("e")).agg(F.max("weight").alias("weight"))
+    first = first.select("v", "e", F.lit(None).cast("long").alias("txn_id"), "weight", F.lit(None).cast("long").alias("cut_txn"), F.lit(True).alias("if_absent"), F.lit(True).alias("if_there"))
+    did = pairs.groupBy("v", "e", "txn_id").agg(
+        F.max(F.struct("op_seq", insert.alias("made"), "weight")).alias("last"), F.max(~insert).alias("deletes"), F.first("ends").alias("ends"),
+        F.first("live").alias("live"), F.first("cut").alias("cut"), F.first("cut_txn").alias("cut_txn"),
+    )
+    counts = F.col("live") & F.col("ends")
+    if_absent = counts & F.col("last.made") & (F.col("cut").isNull() | (F.col("cut") < F.col("last.op_seq")))
+    if_there = ~(counts & F.col("deletes")) & F.col("cut").isNull()
+    steps = first.unionByName(did.select("v", "e", "txn_id", "last.weight", "cut_txn", if_absent.alias("if_absent"), if_there.alias("if_there")))
+    w = Window.partitionBy("v", "e").orderBy(F.asc_nulls_first("txn_id"))
+    until = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # a vertex deleted since the pair was last named takes the edge along
+    lost = F.col("cut_txn").isNotNull() & (F.lag("txn_id").over(w).isNull() | (F.col("cut_txn") > F.lag("txn_id").over(w)))
+    steps = steps.withColumn("lost", lost).withColumn("if_was", F.when(F.col("lost"), F.col("if_absent")).otherwise(F.col("if_there")))
+    steps = steps.withColumn("turns", F.sum((F.col("if_absent") & ~F.col("if_was")).cast("long")).over(until))
+    steps = steps.withColumn("set", F.last(F.when(F.col("if_absent") == F.col("if_was"), F.struct(F.col("if_absent").alias("to"), "turns")), ignorenulls=True).over(until))
+    odd = (F.col("turns") - F.coalesce("set.turns", F.lit(0))) % 2 == 1
+    steps = steps.withColumn("after", F.coalesce("set.to", F.lit(False)) != odd)
+    steps = steps.withColumn("before", ~F.col("lost") & F.coalesce(F.lag("after").over(w), F.lit(False)))
+    made = F.last(F.when(~F.col("before") & F.col("after"), F.struct("weight")), ignorenulls=True).over(until)
+    return steps.select("v", "e", "txn_id", "before", "after", made["weight"].alias("weight"))
+
+
+def _judged(vertices: DataFrame, edges: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The log with ``fails`` of each operation, and the pairs as of :func:`_pairs_before`, if just ``live`` operations count."""
+    seen = _vertices_before(vertices, log)
+    for end in ("v", "e"):
+        log = log.join(seen.select(F.col("id").alias(end), "txn_id", F.col("is").alias(f"{end}_is"), F.col("cut").alias(f"{end}_cut"), F.col("cut_txn").alias(f"{end}_txn")), [end, "txn_id"], "left")
+    ends = F.col("v_is") & F.coalesce("e_is", F.lit(False))
+    log = log.select("txn_id", "op_seq", "op", "v", "e", "weight", "live", "v_is", ends.alias("ends"), F.greatest("v_cut", "e_cut").alias("cut"), F.greatest("v_txn", "e_txn").alias("cut_txn"))
+    pairs = _pairs_before(edges, log.filter(F.col("op").isin(*EDGE_OPS)))
+    log = log.join(pairs.select("v", "e", "txn_id", F.col("before").alias("edge")), ["v", "e", "txn_id"], "left")
+    op, edge = F.col("op"), F.coalesce("edge", F.lit(False))
+    fails = F.when(op.isin("FIND", "DELETE"), ~F.col("v_is")).when(op == "INSERT_EDGE", ~F.col("ends") | edge).when(op == "DELETE_EDGE", ~edge).otherwise(False)
+    return log.select("txn_id", "op", fails.alias("fails")), pairs
+
+
 def apply_txns(vertices: DataFrame, edges: DataFrame, log: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Transactions in the order of ``txn_id``: vertices and edges after the last, and ``txn_id, txn_status, failed``.
 
-    Each depends on the state that the one before leaves, so the driver walks over the ids; the operations of a
-    transaction are one set."""
-    log = settle(checked(log))
-    vertices, edges = vertices.select("id"), edges.select("src", "dst", F.col("weight").cast("long").alias("weight"))
-    results = None
-    for r in log.select("txn_id").distinct().orderBy("txn_id").collect():
-        vertices, edges, said = apply_txn(vertices, edges, log.filter(F.col("txn_id") == r.txn_id), strict)
-        row = said.select(F.lit(r.txn_id).alias("txn_id"), F.when(F.col("committed"), "Committed").otherwise("Aborted").alias("txn_status"), "failed")
-        results = row if results is None else results.union(row)
-    if results is None:
-        results = log.sparkSession.createDataFrame([], "txn_id long, txn_status string, failed long")
-    return vertices, edges, results
+    Each depends on the state that the one before leaves, but windows find the states before all of them at once if
+    it is known which ones abort.  At first none is taken to; each round judges all by the aborts of the round before, until
+    they stay the same.  As a judgement depends on earlier transactions only, round k is right up to the k-th transaction
+    at least, so there is one answer; rounds follow the longest chain of aborts that depend on each other."""
+    log = settle(checked(log).filter("txn_id is not null"))
+    vertices, edges = settle(vertices.select("id")), settle(edges.select("src", "dst", F.col("weight").cast("long").alias("weight")))
+    aborted = log.select("txn_id").limit(0)
+    while True:
+        live = log.join(aborted.withColumn("out", F.lit(True)), "txn_id", "left").withColumn("live", F.col("out").isNull())
+        judged, pairs = _judged(vertices, edges, live)
+        said = judged.groupBy("txn_id").agg(F.max(F.col("fails") & (F.lit(True) if strict else F.col("op") == "FIND")).alias("abort"), F.sum(F.col("fails").cast("long")).alias("failed"))
+        said = settle(said)
+        found = said.filter("abort").select("txn_id")
+        if found.exceptAll(aborted).isEmpty() and aborted.exceptAll(found).isEmpty():
+            break
+        aborted = found
+    done = live.filter("live")
+    history = vertices.select("id", F.lit(None).cast("long").alias("txn_id"), F.lit(None).cast("long").alias("op_seq"), F.lit(True).alias("there"))
+    history = history.union(done.filter(F.col("op").isin(*VERTEX_OPS)).select("v", "txn_id", "op_seq", F.col("op") == "INSERT"))
+    left = history.groupBy("id").agg(F.max(F.struct("txn_id", "op_seq", "there")).alias("last")).filter("last.there").select("id")
+    pair = pairs.groupBy(F.col("v").alias("src"), F.col("e").alias("dst")).agg(F.max(F.struct("txn_id", "after", "weight")).alias("last")).filter("last.after")
+    cuts = done.filter("op = 'DELETE'").groupBy(F.col("v").alias("id")).agg(F.max("txn_id").alias("cut"))
+    for end in ("src", "dst"):
+        pair = pair.join(cuts.select(F.col("id").alias(end), F.col("cut").alias(f"{end}_cut")), end, "left")
+        pair = pair.filter(F.col(f"{end}_cut").isNull() | F.coalesce(F.col(f"{end}_cut") <= F.col("last.txn_id"), F.lit(False)))
+    status = F.when(F.col("abort"), "Aborted").otherwise("Committed")
+    return settle(left), settle(pair.select("src", "dst", F.col("last.weight").alias("weight"))), said.select("txn_id", status.alias("txn_status"), "failed")
 
 
 def seq_of(*order: Column) -> Column:

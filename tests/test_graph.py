@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from loomgraph import queries
 from loomgraph.functions.normalise import dedup_edges
 from loomgraph.operators.betweenness import betweenness
 from loomgraph.operators.components import connected_components, verify_components
@@ -220,3 +221,56 @@ def test_stream(spark, tmp_path):
     assert [tuple(r)[:2] for r in store.results().orderBy("txn_id", "txn_status").collect()] == [(1, "Committed"), (1, "Late"), (2, "Aborted"), (3, "Committed")]
     store.apply(parts[0], 0)
     assert rows(store.graph()[0]) == {(1,), (3,)}
+
+
+def walk(ids, edges, txns, strict):
+    """Transactions one by one, each judged by the state before it."""
+    vertices, edges, said = set(ids), dict(edges), []
+    for t, ops in txns:
+        fails = []
+        for op, v, e, _ in ops:
+            ends = v in vertices and e in vertices
+            fails.append({"FIND": v not in vertices, "DELETE": v not in vertices, "INSERT": False, "INSERT_EDGE": not ends or (v, e) in edges, "DELETE_EDGE": (v, e) not in edges}[op])
+        abort = any(f and (strict or op[0] == "FIND") for f, op in zip(fails, ops, strict=True))
+        said.append((t, "Aborted" if abort else "Committed", sum(fails)))
+        if abort:
+            continue
+        now, made = set(vertices), dict(edges)
+        for op, v, e, w in ops:
+            if op == "INSERT":
+                now.add(v)
+            elif op == "DELETE":
+                now.discard(v)
+                made = {x: k for x, k in made.items() if v not in x}
+            elif op == "INSERT_EDGE" and {v, e} <= vertices and (v, e) not in edges:
+                made[v, e] = w
+            elif op == "DELETE_EDGE" and {v, e} <= vertices:
+                made.pop((v, e), None)
+        vertices, edges = now, made
+    return vertices, edges, said
+
+
+@pytest.mark.parametrize("seed, strict", [(1, False), (2, False), (3, True), (4, True)])
+def test_transactions_against_a_walk(spark, seed, strict):
+    rng = random.Random(seed)
+    ops = ["FIND", "INSERT", "INSERT", "INSERT", "DELETE", "INSERT_EDGE", "INSERT_EDGE", "INSERT_EDGE", "DELETE_EDGE"]
+    txns = [(t, [(rng.choice(ops), rng.randrange(6), rng.randrange(6), rng.randrange(100)) for _ in range(1 + rng.randrange(4))]) for t in range(60)]
+    ids, first = range(4), {(0, 1): 7, (1, 2): 8, (3, 0): 9}
+    flat = [(t, op, v, e if "EDGE" in op else None, w) for t, x in txns for op, v, e, w in x]
+    log = spark.createDataFrame([(t, k, op, v, e, None, w) for k, (t, op, v, e, w) in enumerate(flat)], LOG)
+    state = spark.createDataFrame([(i,) for i in ids], "id long"), spark.createDataFrame([(*k, w) for k, w in first.items()], RAW)
+    v, e, said = apply_txns(*state, log, strict)
+    want = walk(ids, first, txns, strict)
+    assert {x[1] for x in want[2]} == {"Aborted", "Committed"}
+    assert sorted(map(tuple, said.collect())) == want[2]
+    assert rows(v) == {(i,) for i in want[0]} and rows(e) == {(*k, w) for k, w in want[1].items()}
+
+
+def test_transactions_take_the_whole_log(spark):
+    events = sorted(spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("ts", "event_id", "user_id").collect())
+    there = {r.user_id for r in events}
+    for r in events:
+        k = r.event_id * 7 % 10
+        (there.add if k < 4 else there.discard if k < 8 else lambda v: None)(r.user_id)
+    assert len(events) > 200
+    assert rows(queries.QUERIES["txns_final_vertices"](spark, "/root/testdata/sf0.001")) == {(v,) for v in there}

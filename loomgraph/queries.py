@@ -1,7 +1,7 @@
 """Registered graph queries and their SQL oracles.
 
 The graphs are derived from the relational tables: ``ord`` (customers, an edge per order, weighted), ``sparse`` (a
-twentieth of it, for components), ``cp`` (customer to part), ``nt`` (nation to nation), ``evt`` (a user to the next)."""
+twentieth of it, for components of several sizes; ``components_all_orders`` takes all), ``cp`` (customer to part), ``nt`` (nation to nation), ``evt`` (a user to the next)."""
 
 from __future__ import annotations
 
@@ -325,6 +325,25 @@ def components_verified(spark, sf_dir):
     return verify_components(g, connected_components(g))
 
 
+ALL_COMPONENTS = COMPONENTS.replace(SPARSE, ORD)
+
+
+@query(f"{ALL_COMPONENTS} select id, label as component from r")
+def components_all_orders(spark, sf_dir):
+    return connected_components(ord_graph(spark, sf_dir))
+
+
+@query(f"{ALL_COMPONENTS} select label as component, count(*) as size from r group by label")
+def components_all_orders_by_size(spark, sf_dir):
+    return component_sizes(connected_components(ord_graph(spark, sf_dir)))
+
+
+@query("select true as valid")
+def components_all_orders_verified(spark, sf_dir):
+    g = ord_graph(spark, sf_dir)
+    return verify_components(g, connected_components(g))
+
+
 # --- triangles, betweenness ------------------------------------------------------------------------------------------
 
 

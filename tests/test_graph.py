@@ -274,3 +274,19 @@ def test_transactions_take_the_whole_log(spark):
         (there.add if k < 4 else there.discard if k < 8 else lambda v: None)(r.user_id)
     assert len(events) > 200
     assert rows(queries.QUERIES["txns_final_vertices"](spark, "/root/testdata/sf0.001")) == {(v,) for v in there}
+
+
+def test_components_read_every_order(spark, tmp_path):
+    sf = "/root/testdata/sf0.001"
+    orders, n = [tuple(r) for r in spark.read.parquet(f"{sf}/orders.parquet").select("o_custkey", "o_orderkey").collect()], spark.read.parquet(f"{sf}/customer.parquet").count()
+    # customers in pairs of their own: only orders that the sparse graph leaves out hold them together
+    key = {o * 7919 % n: o for _, o in orders if o % 20}
+    few = [(b - 1, key[b]) for b in range(1, n, 2) if b in key]
+    assert len(few) > 20
+    spark.createDataFrame(few, "o_custkey long, o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(n).withColumnRenamed("id", "c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
+    want = {(k, k) for k in range(n)} - {(c + 1, c + 1) for c, _ in few} | {(c + 1, c) for c, _ in few}
+    assert rows(queries.QUERIES["components_all_orders"](spark, str(tmp_path))) == want
+    sizes = rows(queries.QUERIES["components_all_orders_by_size"](spark, str(tmp_path)))
+    assert sum(s for _, s in sizes) == n and sum(s == 2 for _, s in sizes) == len(few)
+    assert queries.QUERIES["components_all_orders_verified"](spark, str(tmp_path)).first().valid

@@ -10,6 +10,9 @@ windows of ``WINDOW`` code points (all windows if there are fewer; a shorter tex
 hexadecimal text.  The smallest hashes are a uniform sample of the set of windows, so the share of common
 ones among the smallest of both estimates the Jaccard likeness of the two sets.
 
+That likeness is 0 for most long texts that share a small part.  :func:`extensions` is exact instead: common prefixes
+by longest common extension, and the share of all windows.
+
 The text of a row's successor is needed beside it.  Rows are dealt by ranges of doc_id and sorted there; the
 first rows of a range are also sent to the range before it.  The driver sees range borders only.
 
@@ -21,7 +24,7 @@ last row is the first; an empty table gives an empty result; only ``doc_id`` and
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -80,10 +83,19 @@ class Prefixes:
         """Length of the longest common extension of position i here and j in ``other``."""
         low, high = 0, min(self.n - i, other.n - j)
         while low < high:
-            mid = (low + high + 1) // 2
-            low, high = (mid, high) if self.equal(i, other, j, mid) else (low, mid - 1)
+            # lengths are equal up to one of them: many at a time, as a call costs more than its spans
+            at = np.unique(np.linspace(low + 1, high, 64).astype(np.int64))
+            same = self.spans(np.full(len(at), i), at) == other.spans(np.full(len(at), j), at)
+            good = len(at) if same.all() else int(np.argmin(same))
+            low, high = int(at[good - 1]) if good else low, int(at[good]) - 1 if good < len(at) else high
         return low
 
+    def windows(self) -> np.ndarray:
+        """Hashes of the different windows, ascending; a shorter text is one window, an empty one has none."""
+        size = min(WINDOW, self.n)
+        begin = np.arange(self.n - size + 1 if self.n else 0)
+        return np.unique(self.spans(begin, np.full(len(begin), size)))
+
     def sketch(self) -> np.ndarray:
         """The whole text's hash with its length, then the smallest window hashes, ascending."""
         if not self.n:
@@ -116,49 +128,77 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.isin(union, np.intersect1d(a, b)).sum()) / len(union)
 
 
+def share(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard likeness of two sets of windows, all of them; 1 if both are empty."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    both = len(a) + len(b) - common
+    return common / both if both else 1.0
+
+
 _ROWS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``range, doc_id, text, guest`` in order; a guest only serves as the successor of the last own row."""
+_EXACT = "doc_id long, n_chars long, prefix_edited long, prefix_next long, share_edited double, share_next double"
+_KINDS = {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}
+
+
+def _edited(text: str, after: str) -> str:
+    half = len(text) // 2
+    return text[: len(text) - half] + after[:half]
+
 
-    def rows() -> Iterator[tuple]:
-        for batch in batches:
-            yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+def _compared(me: tuple, mine: np.ndarray, after: str, theirs: np.ndarray) -> tuple:
+    edited = _edited(me[2], after)
+    changed = Prefixes.of(edited).sketch()
+    sha = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
+    return me[1], len(me[2]), sha, fingerprint(mine), fingerprint(changed), likeness(mine, changed), likeness(mine, theirs)
 
-    out: list[tuple] = []
-    held = None
 
-    def result(me: tuple, text: str, mine: np.ndarray, after: str, theirs: np.ndarray) -> tuple:
-        half = len(text) // 2
-        edited = text[: len(text) - half] + after[:half]
-        changed = Prefixes.of(edited).sketch()
-        sha = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-        return me[1], len(text), sha, fingerprint(mine), fingerprint(changed), likeness(mine, changed), likeness(mine, theirs)
+def _extended(me: tuple, mine: tuple[Prefixes, np.ndarray], after: str, theirs: tuple[Prefixes, np.ndarray]) -> tuple:
+    changed = Prefixes.of(_edited(me[2], after))
+    return me[1], len(me[2]), mine[0].extension(0, changed, 0), mine[0].extension(0, theirs[0], 0), share(mine[1], changed.windows()), share(mine[1], theirs[1])
+
+
+def _walk(schema: str, prepare: Callable, result: Callable) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows ``range, doc_id, text, guest`` in order; a guest only serves as the successor of the last own row."""
+    names, kinds = zip(*(x.split() for x in schema.split(", ")), strict=True)
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*rows, strict=True))
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-        names = [x.split()[0] for x in _ROWS.split(", ")]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
-
-    for row in rows():
-        if held is not None and row[0] != held[0][0]:
-            held = None
-        sketch = Prefixes.of(row[2]).sketch()
-        if held is not None:
-            out.append(result(held[0], held[1], held[2], row[2], sketch))
-        held = (row, row[2], sketch) if not row[3] else None
-        if len(out) >= 2000:
+        return pa.RecordBatch.from_arrays([pa.array(c, _KINDS[k]) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        held = None
+        for row in (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+            if held is not None and row[0] != held[0][0]:
+                held = None
+            mine = prepare(Prefixes.of(row[2]))
+            if held is not None:
+                out.append(result(*held, row[2], mine))
+            held = (row, mine) if not row[3] else None
+            if len(out) >= 2000:
+                yield batch_of(out)
+                out = []
+        if out:
             yield batch_of(out)
-            out = []
-    if out:
-        yield batch_of(out)
+
+    return run
 
 
 def compare(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text and of its edited text: the last half of the text replaced by as much of the
     beginning of the successor's."""
+    return _dealt(docs, _ROWS, lambda p: p.sketch(), _compared)
+
+
+def extensions(docs: DataFrame) -> DataFrame:
+    """The same texts compared exactly: length of the common prefix and share of common windows of each text with its
+    edited text and with the successor."""
+    return _dealt(docs, _EXACT, lambda p: (p, p.windows()), _extended)
+
+
+def _dealt(docs: DataFrame, schema: str, prepare: Callable, result: Callable) -> DataFrame:
+    """Rows made of each text and its successor's."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -167,7 +207,7 @@ def compare(docs: DataFrame) -> DataFrame:
     # the smallest doc_id of each range, whose rows are sent to the range before as well
     lows = sorted((r.range, r.low) for r in own.groupBy("range").agg(F.min("doc_id").alias("low")).collect())
     if not lows:
-        return spark.createDataFrame([], _ROWS)
+        return spark.createDataFrame([], schema)
     before = {b[0]: a[0] for a, b in zip([lows[-1], *lows[:-1]], lows, strict=True)}
     is_low = F.lit(False)
     to = F.lit(None).cast("int")
@@ -176,4 +216,4 @@ def compare(docs: DataFrame) -> DataFrame:
         is_low, to = is_low | here, F.when(here, F.lit(before[k])).otherwise(to)
     both = own.select("doc_id", "text", F.explode(F.when(is_low, F.array(F.struct("range", F.lit(False).alias("guest")), F.struct(to.alias("range"), F.lit(True).alias("guest")))).otherwise(F.array(F.struct("range", F.lit(False).alias("guest"))))).alias("r"))
     dealt = both.select("r.range", "doc_id", "text", "r.guest").repartition(len(lows), "range")
-    return dealt.sortWithinPartitions("range", "guest", F.col("doc_id").asc_nulls_last(), "text").mapInArrow(_walk, _ROWS)
+    return dealt.sortWithinPartitions("range", "guest", F.col("doc_id").asc_nulls_last(), "text").mapInArrow(_walk(schema, prepare, result), schema)

@@ -46,6 +46,10 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare(documents(spark, sf_dir))
 
 
+def op7_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.extensions(documents(spark, sf_dir))
+
+
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, shards = token_output.token_files(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), end_id=2)
     return token_output.read(spark, folder, shards)
@@ -60,5 +64,5 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(rows.union(spark.sql(chat.ADDED)))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_pii, op3_lm_score, op4_secrets, op5_ngram_jaccard, op6_sentencepiece, op7_fingerprints, op8_token_output, op9_decontaminate, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_pii, op3_lm_score, op4_secrets, op5_ngram_jaccard, op6_sentencepiece, op7_fingerprints, op7_extensions, op8_token_output, op9_decontaminate, op10_chat_format)}
 ORACLES: dict[str, str] = {"op9_decontaminate": decontaminate.ORACLE, "op10_chat_format": chat.ORACLE}

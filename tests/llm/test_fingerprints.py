@@ -47,3 +47,24 @@ def test_likeness_follows_the_share_of_windows():
     assert P.likeness(s(a), s(a)) == 1 and P.likeness(s(a), s(b)) == 0
     assert 0.15 < P.likeness(s(a), s(a[:2000] + b[:2000])) < 0.55
     assert P.likeness(s(a), s(a + "!")) > 0.9
+
+
+def test_exact_comparison_sees_what_the_sketch_misses(spark):
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcdefgh é😀") for _ in range(n))
+    long, short = word(60_000), word(3000)
+    texts = [long, short + long[30_000:30_040], "", None, "x", "xy", short, short[:900] + word(40), short[:900] + word(50)] + [word(rng.randint(0, 90)) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: tuple(r)[1:] for r in P.extensions(df).collect()}
+
+    def against(a, b):
+        k = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        x, y = ({t[i : i + 24] for i in range(max(len(t) - 23, 1))} - {""} for t in (a, b))
+        return k, (len(x & y) / len(x | y) if x | y else 1.0)
+
+    for k, t in enumerate(texts):
+        t, after = t or "", texts[(k + 1) % len(texts)] or ""
+        h = len(t) // 2
+        (a, b), (c, d) = against(t, t[: len(t) - h] + after[:h]), against(t, after)
+        assert got[k] == (len(t), a, c, pytest.approx(b), pytest.approx(d)), k
+    assert got[0][4] > 0 == {r.doc_id: r.near_next for r in P.compare(df).collect()}[0]

@@ -20,15 +20,16 @@ Two documents link when 100 * intersection >= 75 * union.
    which the shingle comes earliest.  Links found there make components, and from then on no pair inside
    one is made.  Groups of near copies collapse here in a linear number of comparisons; postings of a
    shingle that would fill a task are dealt by a salt, and later rounds join the salts' components.
-5. All other pairs that share a posting, are in different components and fit in size are counted; those with
-   enough matches are verified on whole sets.  Shingles with very many postings are cut into blocks, and pairs of
+5. Of all other pairs that share a posting, are in different components and fit in size, those that may have as many
+   matches as they must (counted, or bounded by signatures of the prefixes) are verified on whole sets.  Shingles with very many postings are cut into blocks, and pairs of
    blocks are dealt out.
 
 Nothing is dropped: steps 2 to 5 only skip pairs that can't link or are linked already, so components are exact
 (class ids are 64-bit hashes: among d distinct texts about d * d / 2^65 unlike pairs would share one).
 Requests name a shingle by 32 bits within its part; shingles that share a name only look more frequent.
 Only bit filters (sized to what they hold, at most 32 MB) and a checked list of mixed shingles are broadcast.  The number of
-parts follows the text's size (``PART_BYTES`` each, ``PARTS`` at most), which bounds a task's memory.
+parts follows the text's size (``PART_BYTES`` each), which bounds a task's memory up to ``PARTS`` of them, 1 TB of text; from
+there on a part grows with the input (about ten bytes of worker memory for a byte of its text).
 
 Defined cases: null text is empty; null doc_ids take part, but components are named by the smallest non-null
 doc_id (null if there is none); repeated rows are equal sets; a very long text is one set like any other and is held
@@ -52,9 +53,9 @@ from . import words as W
 
 N = 5
 #: Text whose shingles one batch of requests asks for.
-GATHER = 16 << 20
+GATHER = 8 << 20
 #: Text for each part of the hash space, and the most parts.
-PART_BYTES = 64 << 20
+PART_BYTES = 16 << 20
 PARTS = 1 << 16
 #: A shingle of more documents of a batch than this is asked for without naming them.
 WIDE = 8
@@ -63,6 +64,8 @@ HOT = 8
 #: More postings of one shingle than this are dealt to several tasks.
 GROUP = 4096
 MOST_MATCHES = 8
+#: Prefixes of more shared shingles than this have signatures too full to say much.
+LONG = 128
 #: Cost of verifying a candidate, in postings: this and an eighth of its shingles.
 VERIFY = 8
 #: Longest broadcast list of mixed shingles (8 bytes each).
@@ -370,7 +373,7 @@ def _prefixes(answers: DataFrame, parts: int) -> DataFrame:
     return stored(rows.mapInArrow(run, schema), "prefixes")
 
 
-_POSTING = np.dtype([("t", "<u8"), ("key", "<i8"), ("root", "<i8"), ("n", "<i4"), ("most", "<i4"), ("l", "<i2"), ("g", "<i4"), ("x", "<i4"), ("y", "<i4")])
+_POSTING = np.dtype([("t", "<u8"), ("key", "<i8"), ("root", "<i8"), ("n", "<i4"), ("most", "<i4"), ("l", "<i2"), ("g", "<i4"), ("x", "<i4"), ("y", "<i4"), *((f"s{k}", "<u8") for k in range(4)), ("e", "<i4"), ("place", "<i4"), ("spare", "<i2"), ("long", "<i2")])
 
 
 def _slices(batches: Iterator[pa.RecordBatch], lists: int, limit: int) -> Iterator[pa.RecordBatch]:
@@ -404,6 +407,26 @@ def _unpacked(raw: list[bytes]) -> np.ndarray:
     return out
 
 
+def _signatures(tokens: np.ndarray, begin: np.ndarray, row: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each shingle of the lists the bits (four words) of those before it in its list, and how many of them have no bit
+    of their own.  Two lists have at most as many shingles in common as bits, and the smaller of these numbers more."""
+    h = W.mix(tokens + _K[3])
+    bit, word = np.uint64(1) << (h & np.uint64(63)), (h >> np.uint64(6)) & np.uint64(3)
+    ahead = np.arange(len(tokens)) - begin[row]
+    signs = []
+    for k in range(4):
+        one = np.where(word == k, bit, np.uint64(0))
+        sign = np.concatenate([np.zeros(1, np.uint64), one[:-1]])
+        sign[ahead == 0] = 0
+        step = 1
+        while step < ahead.max(initial=0) + 1:
+            far = np.flatnonzero(ahead > step)
+            sign[far] |= sign[far - step]
+            step *= 2
+        signs.append(sign)
+    return signs, ahead - sum(np.bitwise_count(x).astype(np.int64) for x in signs)
+
+
 def _groups(often: np.ndarray, star: int | None) -> np.ndarray:
     """Into how many blocks the postings of a shingle are dealt."""
     return 1 + often // GROUP ** (1 + (star or 0))
@@ -440,7 +463,13 @@ def _postings(prefixes: DataFrame, parts: int, star: int | None, mixed=None) ->
                 keep &= both | (often < GROUP)
             if not keep.any():
                 continue
+            if star is None:
+                signs, extra = _signatures(tokens, border[:-1] - border[0], row)
             p = np.zeros(int(keep.sum()), _POSTING)
+            if star is None:
+                for k, sign in enumerate(signs):
+                    p[f"s{k}"] = sign[keep]
+                p["e"], p["place"], p["spare"], p["long"] = extra[keep], place[keep], np.minimum(spare, 32_767)[row[keep]], (length > LONG)[row[keep]]
             row, groups = row[keep], _groups(often[keep], star)
             p["t"], p["key"], p["root"], p["n"], p["most"], p["l"] = tokens[keep], key[row], root[row], n[row], most[keep], matches[row]
             p["g"] = (W.mix(p["key"].view(np.uint64)) % groups.astype(np.uint64)).astype(np.int32)
@@ -537,15 +566,19 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _all_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs in different components whose sizes fit; never two of one component."""
+    """Pairs in different components that may have matches enough; never two of one component.
+
+    The signatures bound the common shingles ahead of the one at hand: a pair is met from its last match that it
+    must have on, and only while the rest of both sets can make up the overlap.  Of two long prefixes, whose
+    signatures say little, every match is told, and counted later."""
     pairs, held = [], 0
     for p in _buckets(batches):
         if (p["root"] == p["root"][0]).all():
             continue
         p = p[np.argsort(p["n"], kind="stable")]
         last = np.searchsorted(p["n"], p["most"], "right")
-        for k in range(0, len(p), 256):
-            x, end = p[k : k + 256], int(last[k : k + 256].max())
+        for k in range(0, len(p), 64):
+            x, end = p[k : k + 64], int(last[k : k + 64].max())
             y = p[k + 1 : end]
             if not len(y):
                 continue
@@ -555,8 +588,15 @@ def _all_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 fits &= x["g"][:, None] != y["g"][None]
             i, j = np.nonzero(fits)
             if len(i):
-                pairs.append((x["key"][i], y["key"][j], np.minimum(x["l"][i], y["l"][j]).astype(np.int64)))
-                held += len(i)
+                ahead = sum(np.bitwise_count(x[w][i] & y[w][j]).astype(np.int64) for w in ("s0", "s1", "s2", "s3")) + np.minimum(x["e"][i], y["e"][j])
+                rest = np.minimum((x["n"] - x["place"] + x["spare"])[i], (y["n"] - y["place"] + y["spare"])[j])
+                least = np.minimum(x["l"][i], y["l"][j]).astype(np.int64)
+                both = (x["long"][i] > 0) & (y["long"][j] > 0)
+                may = (7 * (ahead + rest) >= 3 * (x["n"].astype(np.int64)[i] + y["n"][j])) & (both | (ahead >= least - 1))
+                i, j, least, both = i[may], j[may], least[may], both[may]
+                if len(i):
+                    pairs.append((x["key"][i], y["key"][j], np.where(both, least, 1)))
+                    held += len(i)
                 if held > 500_000:
                     yield _emit(pairs)
                     pairs, held = [], 0

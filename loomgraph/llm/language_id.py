@@ -13,13 +13,13 @@ than ``STRICT`` times the spread that texts of its number of words have.  ``scor
 language when 2 ** (-cross-entropy * min(characters, EVIDENCE)) is shared out over the languages.
 
 The fit is the only step that sees a sample: at most ``per_language`` labelled documents of each language, chosen
-by a hash of doc_id; the documents are whole.  Prediction reads nothing but the text, all of it, and scores each
+by a hash of doc_id and text; the documents are whole, and repeated ones are one.  Prediction reads nothing but the text, all of it, and scores each
 distinct word once per worker.
 
 Defined cases: null text or text without letters gives ``und``, score 0, rejected; a text in which only
 unseen characters occur is scored by the uniform part of the models; ties go to the first language by name; without
 any labelled document everything is ``und``; null doc_ids are not trained on and not held out; repeated rows
-give repeated rows; an empty table gives an empty result.
+give repeated rows; a very long text is scored whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -204,15 +204,16 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
 
     One document in five of the sample is kept from the counts for the calibration."""
     rows = docs.filter("lang is not null and text is not null and doc_id is not null").filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
-    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    rows = rows.select("lang", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)).alias("o"))
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.approx_count_distinct("o").alias("n")).collect()}
     if not sizes:
         return None
-    order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    # twice the wanted share by hash, then cut to the bound in the order of the hash
+    # twice the wanted share by hash, then cut to the bound in the order of the hash; equal rows have one place in it, so
+    # what is collected is bounded
     share = F.lit(None).cast("long")
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1 << 30, (1 << 31) * per_language // n))).otherwise(share)
-    some = rows.select("lang", "text", order.alias("o")).filter(F.col("o") < share).collect()
+    some = rows.filter(F.col("o") < share).dropDuplicates(["lang", "o"]).collect()
     by: dict[str, list] = defaultdict(list)
     for r in sorted(some, key=lambda r: (r.o, r.text)):
         if len(by[r.lang]) < per_language:
@@ -225,42 +226,42 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """``docs`` with lang_pred, score, cross_entropy (bits a character) and rejected.
 
-    Columns of these names are replaced."""
-    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("cross_entropy", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
-    kept = docs.drop(*[f.name for f in added])
-    names = [*kept.columns, *[f.name for f in added]]
-    at, letters = kept.columns.index("text"), len(kept.columns)
+    Columns of these names are replaced; all others are kept and never reach the models, whatever their names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     token = uuid.uuid4().hex
+    fields = ["lang_pred", "score", "cross_entropy", "rejected"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf(T.StructType([T.StructField(n, t) for n, t in zip(fields, (T.StringType(), T.DoubleType(), T.DoubleType(), T.BooleanType()), strict=True)]))
+    def said(texts: pa.Array, has_letter: pa.Array) -> pa.Array:
         model = shared.value
         languages = np.array([*(model.languages if model else []), UND], object)
         if model and ("lang", token) not in W.KEPT:
-            for key in [k for k in W.KEPT if k[0] == "lang"]:
-                del W.KEPT[key]
+            W.forget()
             W.KEPT["lang", token] = _Scorer(model)
-        for batch in batches:
-            has_letter = batch.column(letters).to_numpy(zero_copy_only=False).astype(bool)
-            for chunk in W.chunks(batch.column(at)):
-                n = chunk.n
-                known = has_letter[chunk.first : chunk.first + n]
-                pick, score, entropy, rejected = np.full(n, len(languages) - 1), np.zeros(n), np.full(n, np.nan), np.ones(n, bool)
-                if model:
-                    bits, chars, words = W.KEPT["lang", token].documents(chunk)
-                    known = known & (words > 0)
-                    h = bits / np.maximum(chars, 1)[:, None]
-                    best = h.argmin(axis=1)
-                    low = h[np.arange(n), best]
-                    weight = np.exp2(-(h - low[:, None]) * np.minimum(chars, EVIDENCE)[:, None])
-                    limit = model.mean[best] + STRICT * np.sqrt(model.base[best] ** 2 + model.spread[best] ** 2 / np.maximum(words, 1))
-                    pick, score = np.where(known, best, pick), np.where(known, 1 / weight.sum(axis=1), 0.0)
-                    entropy, rejected = np.where(known, low, np.nan), ~known | (low > limit)
-                part = batch.slice(chunk.first, n)
-                yield pa.RecordBatch.from_arrays([*part.columns[:letters], pa.array(languages[pick], pa.string()), pa.array(score), pa.array(entropy, mask=np.isnan(entropy)), pa.array(rejected)], names)
-
-    given = kept.withColumn("__has_letter", F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)))
-    return given.mapInArrow(run, T.StructType([*kept.schema.fields, *added]))
+        letters = has_letter.to_numpy(zero_copy_only=False).astype(bool)
+        out = [pa.StructArray.from_arrays([pa.array([], t) for t in (pa.string(), pa.float64(), pa.float64(), pa.bool_())], fields)]
+        for chunk in W.chunks(texts):
+            n = chunk.n
+            known = letters[chunk.first : chunk.first + n]
+            pick, score, entropy, rejected = np.full(n, len(languages) - 1), np.zeros(n), np.full(n, np.nan), np.ones(n, bool)
+            if model:
+                bits, chars, words = W.KEPT["lang", token].documents(chunk)
+                known = known & (words > 0)
+                h = bits / np.maximum(chars, 1)[:, None]
+                best = h.argmin(axis=1)
+                low = h[np.arange(n), best]
+                weight = np.exp2(-(h - low[:, None]) * np.minimum(chars, EVIDENCE)[:, None])
+                limit = model.mean[best] + STRICT * np.sqrt(model.base[best] ** 2 + model.spread[best] ** 2 / np.maximum(words, 1))
+                pick, score = np.where(known, best, pick), np.where(known, 1 / weight.sum(axis=1), 0.0)
+                entropy, rejected = np.where(known, low, np.nan), ~known | (low > limit)
+            out.append(pa.StructArray.from_arrays([pa.array(languages[pick], pa.string()), pa.array(score), pa.array(entropy, mask=np.isnan(entropy)), pa.array(rejected)], fields))
+        return pa.concat_arrays(out)
+
+    held = f"said_{token[:8]}"
+    kept = docs.drop(*fields)
+    names = [F.col(f"`{n}`") for n in kept.columns]
+    given = kept.select(*names, said(F.col("text"), F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False))).alias(held))
+    return given.select(*names, *[F.col(f"{held}.{n}").alias(n) for n in fields])
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -8,8 +8,9 @@ The patterns for e-mail and IP addresses match what their plain forms match.  A
 a run of its first class begins or where the match before it ended (``\\G``), and runs are taken possessively, so
 that very long runs cost linear time.
 
-Defined cases: null text is empty and has no spans; repeated rows give repeated rows; an empty table gives
-an empty result; ``find`` keeps all columns and adds ``spans`` under the name asked for.
+Defined cases: null text is empty and has no spans; very long texts are scanned whole; spans that begin together come in the
+order of ``KINDS``; null and repeated doc_ids do no harm, repeated rows give repeated rows; an empty table gives an empty
+result; ``find`` keeps all columns, whatever their names, and adds ``out``, which replaces a column of that name.
 """
 
 from __future__ import annotations

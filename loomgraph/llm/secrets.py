@@ -4,16 +4,22 @@ Each rule's regular expression gives a Boolean trigram query.  Postings (trigram
 that any query names are made from all texts and intersected by key; only the candidates of a rule are
 verified with its regular expression.  Rules without a mandatory trigram scan every text.  The key is a
 64-bit hash of the text: equal texts share postings, and a collision can only add a candidate, which
-verification then refuses.  Keys need no doc_id, so null and repeated ids do no harm.
+verification then refuses.  Keys need no doc_id, so null and repeated ids do no harm.  The candidates' keys go back to the
+rows by broadcast if they are few; else the rows of equal texts are dealt to several tasks.
 
-Defined cases: null text is empty and has no spans; repeated rows give repeated rows; an empty table gives
-an empty result; other columns are kept, whatever their names.
+Defined cases: null text is empty and has no spans; very long texts are scanned whole; spans that begin together come in the
+order of the rules; repeated rows give repeated rows; an empty table gives an empty result; other columns are kept, whatever
+their names, but for one named like the result (``out``), which is replaced; columns of one name are refused.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..plans.sized import spread
+from ..plans.store import settle
 from .spans import matches, none, of_kind, render
 from .trigrams import Query, grams_of, query_of
 
@@ -29,6 +35,9 @@ RULES = {
     "pem": r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----",
 }
 BASE = ("assign", "access", "hex")
+#: Candidate keys (16 bytes each) that may be broadcast; beyond, rows of one key are dealt to so many tasks.
+BROADCAST_KEYS = 1_000_000
+SALTS = 16
 
 
 def _checks(kind: str, m: Column) -> Column:
@@ -94,12 +103,19 @@ def find(docs: DataFrame, rules: dict[str, str] | None = None, text: str = "text
     names = docs.columns
     if len(names) != len(set(names)):
         raise ValueError("columns must have different names")
-    key, bits = "__secret_key", "__secret_rules"
+    docs = spread(docs)
+    mark = uuid.uuid4().hex[:8]
+    key, bits, salt = f"key_{mark}", f"rules_{mark}", f"salt_{mark}"
     body = F.coalesce(F.col(text), F.lit(""))
     keyed = docs.withColumn(key, key_of(body))
     if grams:
-        some = candidates(postings(docs, grams, text), indexed, grams).select(F.col("key").alias(key), F.col("rules").alias(bits))
-        keyed = keyed.join(some, key, "left")
+        some = settle(candidates(postings(docs, grams, text), indexed, grams).select(F.col("key").alias(key), F.col("rules").alias(bits)))
+        if some.count() <= BROADCAST_KEYS:
+            keyed = keyed.join(F.broadcast(some), key, "left")
+        else:
+            plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if f.name != text and f.dataType.typeName() not in ("map", "variant")]
+            keyed = keyed.withColumn(salt, F.pmod(F.xxhash64(*plain), F.lit(SALTS)).cast("int") if plain else F.lit(0))
+            keyed = keyed.join(some.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [key, salt], "left")
     else:
         keyed = keyed.withColumn(bits, F.lit(None).cast("long"))
     passes = []
@@ -114,7 +130,7 @@ def find(docs: DataFrame, rules: dict[str, str] | None = None, text: str = "text
 
 def redact(docs: DataFrame, mark: str = "[secret]", text: str = "text") -> DataFrame:
     """``docs`` with every found span of ``text`` replaced by ``mark``; overlapping spans become one mark."""
-    spans = "__secret_spans"
+    spans = f"spans_{uuid.uuid4().hex[:8]}"
     found = find(docs, text=text, out=spans)
     body = F.col(text)
 

@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph.llm import jaccard_join as J
 
@@ -73,8 +74,11 @@ def test_components_equal_brute_force(spark, texts, monkeypatch, hot, group):
 
 def test_one_of_each_group_stays(spark, texts):
     rows = [(i, t, "x") for i, t in texts.items()] + [(1, texts[1], "again")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, key string").repartition(3)
+    docs = spark.createDataFrame([(*r, 4) for r in rows], "doc_id long, text string, key string, __class int").repartition(3)
     kept = [r.doc_id for r in J.keep_one(docs).collect()]
     want = {i for i, (n, c) in brute(texts).items() if i == c}
-    assert set(kept) == want
+    assert set(kept) == want and J.keep_one(docs).columns == docs.columns
+    odd = spark.createDataFrame([(None, "one two three four five six"), (None, "one two three four five six"), (None, None), (7, "w " * 300_000), (7, "w " * 300_000 + "v")], "doc_id long, text string")
+    assert sorted(J.keep_one(odd).select("doc_id", F.length("text").alias("n")).collect(), key=repr) == [(7, 600_000), (7, 600_001), (None, 27), (None, None)]
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in J.groups(odd).collect()} == {(None, 2, None), (None, 0, None), (7, 1, 7), (7, 2, 7)}
     assert J.groups(docs.limit(0)).collect() == [] and J.keep_one(docs.limit(0)).collect() == []

@@ -44,7 +44,11 @@ def test_defined_cases(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = L.train(docs, per_language=50)
     odd = [(1, None), (2, ""), (3, "123 — !!"), (None, "the and of thing"), (5, "xq zj vvk qqx jzz kkq wxz zzq xqj jjq"), (6, "日本語"), (7, "THE AND OF THING " * 20_000)]
-    got = {r.doc_id: r for r in L.predict(spark.createDataFrame([(*x, 0.5) for x in odd], "doc_id long, text string, score double"), model).collect()}
+    rows = L.predict(spark.createDataFrame([(*x, 0.5, "own", "de") for x in odd], "doc_id long, text string, score double, __has_letter string, lang string"), model).collect()
+    got = {r.doc_id: r for r in rows}
+    assert {r["__has_letter"] for r in rows} == {"own"} and {r.lang for r in rows} == {"de"}
+    same = spark.createDataFrame([(1, "abc def", "en")] * 300 + [(k, f"kiwi wik {k}", "xx") for k in range(2, 60)], "doc_id long, text string, lang string")
+    assert L.train(same, per_language=5).languages in (["en", "xx"], ["xx"])
     assert [got[k].lang_pred for k in (1, 2, 3)] == ["und"] * 3 and all(got[k].rejected and got[k].score == 0 for k in (1, 2, 3))
     assert got[None].lang_pred == got[7].lang_pred == "en" and not got[7].rejected
     assert got[5].rejected and got[6].rejected

@@ -21,15 +21,18 @@ def test_overlaps(spark, monkeypatch):
         6: None, 7: "", 8: " ".join(w[30:39]).upper(), 9: " ".join(swap(w[30:39], 4)), 10: " ".join(w[:20] * 3),
     }
     docs = spark.createDataFrame([*texts.items(), (None, texts[1]), (1, texts[1])], "doc_id long, text string").withColumn("words", F.lit("clash")).withColumn("item_id", F.lit(1))
-    items = spark.createDataFrame([(100, " ".join(w[:20])), (101, None), (102, " ".join(w[30:39])), (103, "w1 w2"), (104, " ".join(w[:20]))], "item_id long, text string")
-    for most in (10**6, 0):  # broadcast, then shuffled
-        monkeypatch.setattr(D, "BROADCAST_SEEDS", most)
+    items = spark.createDataFrame([(100, " ".join(w[:20])), (101, None), (102, " ".join(w[30:39])), (103, "w1 w2"), (104, " ".join(w[:20])), (105, "X w10"), (106, ""), (107, " ".join(w[:20]))], "item_id long, text string")
+    for most in (1 << 26, 0):  # broadcast, then shuffled
+        monkeypatch.setattr(D, "BROADCAST_BYTES", most)
         got = {(r.doc_id, r.item_id): (r.item_tokens, r.matched_tokens, r.window_matches, r.first_token) for r in D.overlaps(docs, items).collect()}
         assert got[1, 100] == got[1, 104] == (20, 20, 13, 1)
+        # two words: no seed, but reported wherever they occur
+        short = {k: got.pop(k) for k in list(got) if k[1] in (103, 105)}
+        assert short == {(d, 103): (2, 2, 2, at) for d, at in {1: 2, 2: 1, 3: 1, 10: 1, None: 2}.items()} | {(d, 105): (2, 2, 2, 9) for d in (2, 3)}
         assert got[2, 100][1:] == (11, 11, 0) and got[4, 100] == (20, 13, 13, -7)
         assert {d for d, _ in got} == {1, 2, 4, 5, 8, 10, None} and got[5, 100][2] == 12 and got[8, 102] == (9, 9, 9, 0)
-        kept = D.clean(docs, items)
-        assert sorted(r.doc_id for r in kept.collect()) == [3, 6, 7, 9] and kept.columns == docs.columns
+        kept = D.clean(docs.withColumn("__leak_a", F.lit("own")), items.filter("item_id <> 103 and item_id <> 105"))
+        assert sorted((r.doc_id, r["__leak_a"]) for r in kept.collect()) == [(k, "own") for k in (3, 6, 7, 9)] and kept.columns[:-1] == docs.columns
     assert D.overlaps(docs.limit(0), items).collect() == [] and D.overlaps(docs, items.limit(0)).collect() == []
     assert D.clean(docs, items.limit(0)).count() == docs.count()
 

@@ -93,6 +93,17 @@ def test_secrets_keep_columns_and_redact(spark, docs):
     assert secrets.digest(df.limit(0)).collect() == [] and pii.digest(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_clashing_names_and_candidates_either_way(spark, monkeypatch, most):
+    monkeypatch.setattr(secrets, "BROADCAST_KEYS", most)
+    row = (1, "token = abcdef0123456789abcdef01", "a", 2, 3)
+    df = spark.createDataFrame([row] * 3 + [(None, None, None, None, None)], "doc_id long, text string, __secret_rules string, __secret_key int, rules int")
+    found = secrets.find(df)
+    assert sorted((r.doc_id or 0, r["__secret_rules"] or "", len(r.spans)) for r in found.collect()) == [(0, "", 0)] + [(1, "a", 2)] * 3
+    assert found.columns == [*df.columns, "spans"] and secrets.redact(df).columns == df.columns
+    assert {r["__secret_key"] for r in pii.find(df).collect()} == {2, None}
+
+
 def test_trigram_queries_are_implied(texts):
     assert query_of("AKIA[A-Z0-9]+") == ("and", ["aki", "kia"])
     assert query_of("[0-9a-f]{24,}") is True

@@ -16,6 +16,12 @@ from pyspark.sql import DataFrame, functions as F
 TASK_EDGES = 2_000_000
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt to all cores if it is read by fewer tasks (a small table of one file); else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def fits_task(edges: DataFrame, vertices: DataFrame | None, engine: str) -> bool:
     """Whether the graph goes to one task; ``engine`` is "auto", "task" or "cluster"."""
     if engine not in ("auto", "task", "cluster"):

@@ -208,12 +208,12 @@ def _dealt(docs: DataFrame, schema: str, prepare: Callable, result: Callable) ->
     lows = sorted((r.range, r.low) for r in own.groupBy("range").agg(F.min("doc_id").alias("low")).collect())
     if not lows:
         return spark.createDataFrame([], schema)
-    before = {b[0]: a[0] for a, b in zip([lows[-1], *lows[:-1]], lows, strict=True)}
-    is_low = F.lit(False)
-    to = F.lit(None).cast("int")
-    for k, low in lows:
-        here = (F.col("range") == k) & F.col("doc_id").eqNullSafe(F.lit(low).cast("long"))
-        is_low, to = is_low | here, F.when(here, F.lit(before[k])).otherwise(to)
+    # looked up by range number
+    low_of, before = [None] * (lows[-1][0] + 1), [None] * (lows[-1][0] + 1)
+    for (a, _), (b, low) in zip([lows[-1], *lows[:-1]], lows, strict=True):
+        low_of[b], before[b] = low, a
+    at = lambda values, kind: F.get(F.array(*[F.lit(v).cast(kind) for v in values]), F.col("range"))
+    is_low, to = F.col("doc_id").eqNullSafe(at(low_of, "long")), at(before, "int")
     both = own.select("doc_id", "text", F.explode(F.when(is_low, F.array(F.struct("range", F.lit(False).alias("guest")), F.struct(to.alias("range"), F.lit(True).alias("guest")))).otherwise(F.array(F.struct("range", F.lit(False).alias("guest"))))).alias("r"))
-    dealt = both.select("r.range", "doc_id", "text", "r.guest").repartition(len(lows), "range")
+    dealt = both.select("r.range", "doc_id", "text", "r.guest").repartitionById(lows[-1][0] + 1, F.col("range"))
     return dealt.sortWithinPartitions("range", "guest", F.col("doc_id").asc_nulls_last(), "text").mapInArrow(_walk(schema, prepare, result), schema)

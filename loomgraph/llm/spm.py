@@ -7,11 +7,15 @@ for any two ASCII characters that no piece holds side by side; words are cut the
 
 Distinct marked words are sorted and walked as the depth-first traversal of their trie: a stack holds the
 forward state of each prefix, and a word reuses the states of the prefix it shares with the one before.
-Each step looks at the pieces that end at the position, as Viterbi does.  The model at hand is of the BPE
-kind, for which the best sum of scores is *not* the library's segmentation.  Its forward state is therefore
-the last piece of the prefix's own segmentation, and a piece may follow a state only if the two, merged by
-the model's rules as one string, stay those two pieces.  Exactly one piece can end each prefix, so
-the state needs no back-tracking over alternatives, and the result equals the library's.
+Each step looks at the pieces that end at the position.
+
+For a model of the unigram kind the state is the Viterbi forward score: the best sum of piece scores up to there, and
+the piece that ends it.  For one of the BPE kind the best sum of scores is *not* the library's segmentation.  Its
+forward state is therefore the last piece of the prefix's own segmentation, and a piece may follow a state only if
+the two, merged by the model's rules as one string, stay those two pieces.  Exactly one piece can end each prefix, so
+the state needs no back-tracking over alternatives, and the result equals the library's.  The kind and the
+normaliser are read from the model; one that does more than the above (other normalisations, unused pieces that
+compete, pieces across words) is refused.
 
 Defined cases: null text is empty; an empty text has no ids and decodes to the empty text; characters
 outside the vocabulary become byte pieces; null or repeated doc_ids pass through row by row; an empty
@@ -31,6 +35,76 @@ from . import words as W
 MARK = "▁"
 
 
+#: Field numbers and values of the model file's format that are read here.
+TRAINER, NORMALIZER = 2, 3
+MODEL_TYPE, UNIGRAM, BPE = 3, 1, 2
+RULES_NAME, CHARSMAP, DUMMY_PREFIX, EXTRA_BLANKS, ESCAPE_BLANKS = 1, 2, 3, 4, 5
+#: Fixed value: how far the score of a character without a piece lies below the lowest one.
+UNKNOWN_PENALTY = 10.0
+
+
+def _fields(raw: bytes) -> dict[int, int | bytes]:
+    """The last value of each field of a protocol buffer message."""
+    out, at = {}, 0
+
+    def number() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = raw[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(raw):
+        field, kind = divmod(number(), 8)
+        if kind == 0:
+            out[field] = number()
+        else:
+            size = {1: 8, 5: 4}.get(kind) or number()
+            out[field] = raw[at : at + size]
+            at += size
+    return out
+
+
+class Unigram:
+    """Viterbi over pieces with scores (natural logarithms of their probabilities)."""
+
+    def __init__(self, scores: dict[str, float]):
+        self.scores = scores
+        self.longest = max(map(len, scores))
+        self.unknown = min(scores.values()) - UNKNOWN_PENALTY
+
+    def walk(self, words: list[str]) -> Iterator[list[str]]:
+        """Best segmentations of sorted words; of equally good ones that with the longest last piece, and so on."""
+        # forward state of prefix k: its best score, and where the last piece of the best segmentation begins
+        state: list[tuple[float, int]] = [(0.0, 0)]
+        before = ""
+        for word in words:
+            k = 0
+            while k < min(len(before), len(word)) and before[k] == word[k]:
+                k += 1
+            del state[k + 1 :]
+            for end in range(k + 1, len(word) + 1):
+                best = None
+                for begin in range(max(0, end - self.longest), end):
+                    score = self.scores.get(word[begin:end])
+                    if score is None and end - begin == 1:
+                        score = self.unknown
+                    if score is not None and (best is None or state[begin][0] + score > best[0]):
+                        best = (state[begin][0] + score, begin)
+                state.append(best)
+            before = word
+            at, parts = len(word), []
+            while at:
+                begin = state[at][1]
+                parts.append(word[begin:at])
+                at = begin
+            yield parts[::-1]
+
+
 class Model:
     """Pieces and merge rules of one vocabulary."""
 
@@ -38,6 +112,11 @@ class Model:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        proto = _fields(sp.serialized_model_proto())
+        self.kind = _fields(proto.get(TRAINER, b"")).get(MODEL_TYPE, UNIGRAM)
+        normalizer = _fields(proto.get(NORMALIZER, b""))
+        if self.kind not in (UNIGRAM, BPE) or normalizer.get(CHARSMAP) or normalizer.get(EXTRA_BLANKS, 1) or not normalizer.get(DUMMY_PREFIX, 1) or not normalizer.get(ESCAPE_BLANKS, 1):
+            raise ValueError("this model's kind or normalisation is not supported")
         n = sp.get_piece_size()
         self.byte = {}
         self.piece: dict[str, int] = {}
@@ -53,6 +132,9 @@ class Model:
             else:
                 self.piece[s] = i
                 self.bytes_of.append(s.replace(MARK, " ").encode())
+        if len(self.byte) != 256:
+            raise ValueError("a model without byte pieces can't give every text back")
+        self.unigram = Unigram({s: self.score[i] for s, i in self.piece.items()}) if self.kind == UNIGRAM else None
         if any(MARK in s.lstrip(MARK) for s in self.piece):
             raise ValueError("a piece has a marker after another character; words can't be encoded one by one")
         self.longest = max(map(len, self.piece))
@@ -94,6 +176,10 @@ class Model:
 
     def walk(self, words: list[str]) -> Iterator[list[int]]:
         """Ids of sorted distinct words."""
+        if self.unigram:
+            for parts in self.unigram.walk(words):
+                yield [i for s in parts for i in self.ids(s)]
+            return
         # forward state of prefix k: where its last piece begins, and that piece
         state: list[tuple[int, str]] = [(0, "")]
         before = ""

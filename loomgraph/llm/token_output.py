@@ -11,12 +11,13 @@ Shards hold consecutive ranges of ascending doc_id.  Each task writes under a na
 renames, so a repeated task replaces its file by an equal one.  A shard's base, the number of ids before
 it, is the prefix sum of the shards' sizes: the driver sees one row per shard, never a document.
 
-The tokenizer sees each distinct word piece once per worker: texts are cut where its pre-tokenizer always
-cuts (ASCII white space, and between an ASCII letter and an ASCII non-letter), which leaves the ids of the
-whole text unchanged.  Texts that hold a special token's string are encoded whole.
+With a vocabulary whose pre-tokenizer is known to part ASCII white space, and an ASCII letter from an ASCII
+non-letter (``PARTING``), the tokenizer sees each distinct word piece once per worker: texts are cut there, which leaves the
+ids of the whole text unchanged.  They are lower-cased first only if the vocabulary's normaliser does so.  Texts that
+hold a special token's string, and all texts under any other vocabulary, are encoded whole.
 
 Defined cases: null text is empty; an empty text has only the end id; null doc_ids come last; repeated
-doc_ids keep all their rows, ordered by text; an empty table gives an empty result; only ``doc_id`` and ``text``
+doc_ids keep all their rows, in the order of their ids' bytes; a very long text is encoded whole by one task; an empty table gives an empty result; only ``doc_id`` and ``text``
 are read, so further columns of any name do no harm.
 """
 
@@ -42,6 +43,30 @@ _OTHER = ~_LETTER
 _OTHER[128:] = False
 _SEPARATOR = "\x01"
 
+#: Split patterns (what they don't match is dropped) and normalisers that leave such cuts where they are.
+PARTING = ("'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+",)
+LEAVING = ("NFC", "Lowercase", "Replace")
+
+
+def _steps(part: dict | None, inner: str) -> list[dict]:
+    """A normaliser or pre-tokenizer as the list of its steps."""
+    if part is None:
+        return []
+    return [x for p in part[inner] for x in _steps(p, inner)] if part["type"] == "Sequence" else [part]
+
+
+def cuts_of(path: str) -> tuple[bool, bool]:
+    """Whether texts may be cut into pieces under this vocabulary, and whether it lower-cases them."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        config = json.load(f)
+    norms = _steps(config["normalizer"], "normalizers")
+    first = (_steps(config["pre_tokenizer"], "pretokenizers") or [{"type": None}])[0]
+    parts = first["type"] == "Split" and first["pattern"].get("Regex") in PARTING and first["behavior"] == "Removed" and first["invert"]
+    leaves = all(x["type"] in LEAVING and (x["type"] != "Replace" or (x["pattern"].get("Regex"), x["content"]) == (r"\s+", " ")) for x in norms)
+    return bool(parts and leaves), any(x["type"] == "Lowercase" for x in norms)
+
 
 class Encoder:
     """Ids of whole texts by way of their distinct pieces; one per worker and vocabulary."""
@@ -51,6 +76,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.cuts, self.lower = cuts_of(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         mark = self._ids(_SEPARATOR)
         self.mark = mark[0] if len(mark) == 1 else None
@@ -79,10 +105,10 @@ class Encoder:
     def encode(self, chunk: W.Chunk, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the chunk's documents, each ended by ``end_id``, and the borders between documents."""
         raw = chunk.data[: chunk.size].tobytes()
-        if any(s.encode() in raw for s in self.special):
+        if not self.cuts or any(s.encode() in raw for s in self.special):
             each = [np.array([*self._ids(raw[a:b].decode("utf-8", "replace")), end_id], np.uint32) for a, b in zip(chunk.offs[:-1], chunk.offs[1:], strict=True)]
             return np.concatenate(each), np.concatenate([[0], np.cumsum([len(x) for x in each])])
-        low = W.Chunk(W.LOWER[chunk.data], chunk.offs, chunk.first)
+        low = W.Chunk(W.LOWER[chunk.data], chunk.offs, chunk.first) if self.lower else chunk
         starts, ends, _ = W.runs(low, ~W.IS_SPACE)
         cut = np.zeros(chunk.size + 1, bool)
         cut[1:-1] = _LETTER[low.data[: chunk.size - 1]] & _OTHER[low.data[1 : chunk.size]] & ~W.IS_SPACE[low.data[1 : chunk.size]]
@@ -201,7 +227,7 @@ def write(encoded: DataFrame, bucket, shards: int, folder: str, width: int) -> l
         close()
         yield pa.RecordBatch.from_pydict({"shard": pa.array([d[0] for d in done], pa.int32()), "docs": pa.array([d[1] for d in done], pa.int64()), "ids": pa.array([d[2] for d in done], pa.int64())})
 
-    dealt = encoded.select(bucket.alias("shard"), "ids", "doc_id").repartition(shards, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_last(), "ids")
+    dealt = encoded.select(bucket.alias("shard"), "ids", "doc_id").repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_last(), "ids")
     return sorted((r.shard, r.docs, r.ids) for r in dealt.mapInArrow(run, "shard int, docs long, ids long").collect())
 
 

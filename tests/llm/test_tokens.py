@@ -17,10 +17,11 @@ def docs(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, ids string").repartition(3)
 
 
-def test_ids_equal_the_tokenizers_library(spark, docs):
+@pytest.mark.parametrize("vocabulary", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_equal_the_tokenizers_library(spark, docs, vocabulary):
     from tokenizers import Tokenizer
 
-    path = public_tokenizers.path("word_bpe_49k.json")
+    path = public_tokenizers.path(vocabulary)
     tok = Tokenizer.from_file(path)
     folder, shards = token_output.token_files(docs, path, shards=4)
     got = sorted(token_output.read(spark, folder, shards).collect(), key=lambda r: r.start)
@@ -46,6 +47,23 @@ def test_pieces_equal_the_sentencepiece_library(docs):
         assert (r.n_pieces, r.ids_crc32, r.round_trip) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), True)
 
 
+def test_unigram_segmentations_have_the_best_sum():
+    """Against all segmentations, on a small vocabulary made by hand."""
+    scores = {"▁": -3.0, "▁a": -2.5, "▁ab": -4.0, "a": -2.0, "b": -2.25, "ab": -3.5, "ba": -3.0, "abc": -6.5, "c": -4.5, "bc": -5.0, "▁aba": -5.5}
+
+    def every(word):
+        if not word:
+            yield []
+        for k in range(1, len(word) + 1):
+            if word[:k] in scores or k == 1:
+                yield from ([word[:k], *rest] for rest in every(word[k:]))
+
+    total = lambda parts: sum(scores.get(p, min(scores.values()) - spm.UNKNOWN_PENALTY) for p in parts)
+    words = sorted("▁" * (k % 3) + "".join("abcx"[(k >> 2 * j) & 3] for j in range(k % 7)) for k in range(2000))
+    for word, parts in zip(words, spm.Unigram(scores).walk(words), strict=True):
+        assert "".join(parts) == word and total(parts) == pytest.approx(max(map(total, every(word)))), (word, parts)
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     path = public_tokenizers.path("word_bpe_49k.json")

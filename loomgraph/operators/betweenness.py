@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..plans.sized import fits_task, in_task
+from ..plans.sized import fits_task, frontier, in_task
 from ..plans.store import settle
 from . import kernels
 from .graph import Graph
@@ -17,6 +17,7 @@ def betweenness(g: Graph, sources: list[int], include_source: bool = True, engin
     0).  ``include_source=False`` leaves a source's own dependency out."""
     if fits_task(g.edges, g.vertices, engine):
         return in_task(g.edges, "id long, score double, raw double", lambda ids, s, d, w: kernels.betweenness(ids, s, d, sources, include_source), g.vertices)
+    g = g.settled()
     parts = [_one(g, s, include_source) for s in sources]
     raw = reduce(DataFrame.union, parts).groupBy("id").agg(F.sum("delta").alias("delta"))
     raw = settle(g.vertices.join(raw, "id", "left").select("id", F.coalesce("delta", F.lit(0.0)).alias("raw")))
@@ -29,8 +30,10 @@ def _one(g: Graph, source: int, include_source: bool) -> DataFrame:
     # abs makes a new attribute: frames of several sources are put together, and those of one vertex column clash
     seen = settle(g.find_vertex(source).select(F.abs("id").alias("id"), F.lit(0).alias("depth"), F.lit(1.0).alias("sigma")))
     depth = 0
-    while seen.filter(F.col("depth") == depth).limit(1).count():
-        front = seen.filter(F.col("depth") == depth).select(F.col("id").alias("src"), "sigma")
+    while True:
+        front, n = frontier(seen.filter(F.col("depth") == depth).select(F.col("id").alias("src"), "sigma"))
+        if not n:
+            break
         new = edges.join(front, "src").groupBy(F.col("dst").alias("id")).agg(F.sum("sigma").alias("sigma")).join(seen, "id", "left_anti")
         depth += 1
         seen = settle(seen.union(new.select("id", F.lit(depth).alias("depth"), "sigma")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans.sized import fits_task, in_task
-from ..plans.store import settle
+from ..plans.store import settle, settle_by
 from . import kernels
 from .graph import Graph
 
@@ -19,7 +19,7 @@ def pagerank(g: Graph, max_iters: int = 20, epsilon: float | None = None, engine
         return in_task(g.edges, "id long, score double", lambda ids, s, d, w: kernels.pagerank(ids, s, d, max_iters, epsilon or 0.0, DAMPING), g.vertices)
     n = g.num_nodes()
     degree = g.edges.groupBy("src").agg(F.count("*").alias("degree"))
-    edges = settle(g.edges.select("src", "dst").join(degree, "src"))
+    edges = settle_by(g.edges.select("src", "dst").join(degree, "src"), "src")
     scores = g.vertices.select("id", F.lit(1.0 / max(n, 1)).alias("score"), F.lit(0.0).alias("change"))
     for _ in range(max_iters):
         scores = settle(_round(g, edges, scores, n))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..plans.sized import fits_task, in_task
-from ..plans.store import settle
+from ..plans.sized import fits_task, frontier, in_task
+from ..plans.store import settle, settle_by
 from . import kernels
 from .graph import Graph
 
@@ -16,15 +16,16 @@ def bfs(g: Graph, source: int, engine: str = "auto") -> DataFrame:
     if fits_task(g.edges, None, engine):
         start = g.find_vertex(source)
         return in_task(g.edges, "id long, depth int, parent long", lambda ids, s, d, w: kernels.bfs(ids, s, d, source), start)
-    edges = g.edges.select("src", "dst")
+    edges = settle_by(g.edges.select("src", "dst"), "src")
     seen = settle(g.find_vertex(source).select("id", F.lit(0).alias("depth"), F.col("id").alias("parent")))
     depth = 0
-    while seen.filter(F.col("depth") == depth).limit(1).count():
-        front = seen.filter(F.col("depth") == depth).select(F.col("id").alias("src"))
+    while True:
+        front, n = frontier(seen.filter(F.col("depth") == depth).select(F.col("id").alias("src")))
+        if not n:
+            return seen
         new = edges.join(front, "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent")).join(seen, "id", "left_anti")
         depth += 1
         seen = settle(seen.union(new.select("id", F.lit(depth).alias("depth"), "parent")))
-    return seen
 
 
 def reachable_count(g: Graph, source: int, engine: str = "auto") -> DataFrame:
@@ -35,20 +36,19 @@ def discovery_order(g: Graph, source: int, engine: str = "auto") -> DataFrame:
     """``id, rank``: when a first-in first-out search with ascending neighbours discovers a vertex, from 0."""
     if fits_task(g.edges, None, engine):
         return in_task(g.edges, "id long, rank long", lambda ids, s, d, w: kernels.discovery(ids, s, d, source), g.find_vertex(source))
-    edges = g.edges.select("src", "dst")
+    edges = settle_by(g.edges.select("src", "dst"), "src")
     seen = settle(g.find_vertex(source).select("id", F.lit(0).cast("long").alias("rank"), F.lit(0).alias("depth")))
     depth, count = 0, 1
     while True:
-        front = seen.filter(F.col("depth") == depth).select(F.col("id").alias("src"), "rank")
+        front, n = frontier(seen.filter(F.col("depth") == depth).select(F.col("id").alias("src"), "rank"))
+        if not n:
+            return seen.select("id", "rank")
         new = edges.join(front, "src").groupBy(F.col("dst").alias("id")).agg(F.min("rank").alias("by")).join(seen, "id", "left_anti")
         # ranks inside a level: a total order of one level, the only step that isn't dealt out
         ranked = new.select("id", (F.row_number().over(Window.orderBy("by", "id")) - 1 + count).cast("long").alias("rank"))
         depth += 1
         seen = settle(seen.union(ranked.select("id", "rank", F.lit(depth).alias("depth"))))
-        added = seen.filter(F.col("depth") == depth).count()
-        if not added:
-            return seen.select("id", "rank")
-        count += added
+        count += seen.filter(F.col("depth") == depth).count()
 
 
 def bfs_goal_rank(g: Graph, source: int, goal: int | None = None, engine: str = "auto") -> DataFrame:

@@ -16,6 +16,16 @@ from pyspark.sql import DataFrame, functions as F
 TASK_EDGES = 2_000_000
 
 
+#: Rows of a frontier (some 16 bytes each) that are broadcast to the edges, which then stay where they are.
+FRONTIER = 1_000_000
+
+
+def frontier(df: DataFrame) -> tuple[DataFrame, int]:
+    """The rows of one round, marked for a broadcast if they are few, and their number."""
+    n = df.count()
+    return (F.broadcast(df) if n <= FRONTIER else df), n
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df``, dealt to all cores if it is read by fewer tasks (a small table of one file); else as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -18,6 +18,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = named or f"{tempfile.gettempdir()}/loomgraph-{uuid.uuid4().hex[:12]}"
         spark.sparkContext.setCheckpointDir(current)
     return named or current
@@ -34,6 +36,19 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settle_by(df: DataFrame, *keys: str) -> DataFrame:
+    """Like :func:`settle`, dealt by ``keys``: joins and aggregates by them need no exchange of the stored rows.
+
+    Spark knows how a stored table is dealt only if its plan was not adaptive."""
+    conf = df.sparkSession.conf
+    was = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return settle(df.repartition(*keys))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", was)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Like :func:`settle`, as a Parquet table: columns can then be pruned on later reads."""
     spark = df.sparkSession

@@ -18,8 +18,9 @@ from .operators.paths import sssp, verify_sssp
 from .operators.rank import pagerank, verify_pagerank
 from .operators.traversal import bfs, bfs_goal_rank, discovery_order, reachable_count, verify_bfs
 from .operators.triangles import triangle_count, triangle_count_ordered, triangles_per_vertex, verify_triangles
+from .plans.store import scratch
 from .sources import generate
-from .sources.edges import edges_from_table
+from .sources.edges import edges_from_table, read_edge_list, write_edge_list
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -129,6 +130,21 @@ def undirected_counts(spark, sf_dir):
     return spark.createDataFrame([(g.num_nodes(), g.num_edges(), g.num_edges_directed())], "nodes long, edges long, records long")
 
 
+@query(f"with {ORD} select 'directed' as kind, count(*) as records from raw union all select 'undirected', 2 * count(*) from raw")
+def input_records(spark, sf_dir):
+    """Records of a graph whose number of vertices is given."""
+    made = [(k, ord_graph(spark, sf_dir, k == "directed").num_edges_directed()) for k in ("directed", "undirected")]
+    return spark.createDataFrame(made, "kind string, records long")
+
+
+@query(f"with {ORD} select src, dst, weight from raw")
+def edge_list_round_trip(spark, sf_dir):
+    """All orders written as edge-list text and read again."""
+    path = scratch(spark, "edge-list")
+    write_edge_list(raw_orders(spark, sf_dir)[0], path)
+    return read_edge_list(spark, path)
+
+
 @query(f"with {ORD} select src, dst, weight from g")
 def edges_simple(spark, sf_dir):
     return ord_graph(spark, sf_dir).edges
@@ -176,6 +192,13 @@ def edges_replaced_in(spark, sf_dir):
     return g.replace_in_edges(new).edges
 
 
+@query(f"with {ORD} select src, dst, weight from g where src % 10 <> 0")
+def edges_emptied_out(spark, sf_dir):
+    """Every tenth vertex gets an empty adjacency."""
+    g = ord_graph(spark, sf_dir)
+    return g.replace_out_edges(g.edges.limit(0), g.vertices.filter("id % 10 = 0")).edges
+
+
 @query(f"with {ORD} select src as id, string_agg(dst || ':' || weight, ',' order by dst) as neighbours from g group by src")
 def out_neighbours(spark, sf_dir):
     said = F.array_join(F.transform("neighbours", lambda x: F.concat_ws(":", x.dst.cast("string"), x.weight.cast("string"))), ",")
@@ -383,6 +406,62 @@ def betweenness_single_source(spark, sf_dir):
     return betweenness(ord_graph(spark, sf_dir), [0]).select("id", F.round("score", 9).alias("score"))
 
 
+def _paths_from(s: int) -> str:
+    """Depths, path counts and dependencies from one source, as common table expressions."""
+    out = f"""r{s}(id, depth) as (select {s}::bigint, 0 union select g.dst, r{s}.depth + 1 from r{s} join g on g.src = r{s}.id where r{s}.depth < 25),
+d{s} as materialized (select id, min(depth) as depth from r{s} group by id), f{s}_0 as materialized (select {s}::bigint as id, 1.0::double as sigma)"""
+    for k in range(1, _DEEP + 1):
+        out += f", f{s}_{k} as materialized (select g.dst as id, sum(f.sigma) as sigma from g join f{s}_{k - 1} f on f.id = g.src where g.dst in (select id from d{s} where depth = {k}) group by g.dst)"
+    out += f", b{s}_{_DEEP} as materialized (select id, 0.0::double as delta from f{s}_{_DEEP})"
+    for k in range(_DEEP - 1, -1, -1):
+        out += f", b{s}_{k} as materialized (select f.id, coalesce(sum(f.sigma / t.sigma * (1 + b.delta)), 0) as delta from f{s}_{k} f left join (g join f{s}_{k + 1} t on t.id = g.dst join b{s}_{k + 1} b on b.id = t.id) on g.src = f.id group by f.id)"
+    return out
+
+
+_THREE = (1, 2, 3)
+_BC3 = "with recursive " + ORD + "".join(f",\n{_paths_from(x)}" for x in _THREE)
+_BC3 += ", bc as (select id, sum(delta) as raw from (" + " union all ".join(f"select id, delta from b{x}_{k} where id <> {x}" for x in _THREE for k in range(_DEEP + 1)) + ") group by id), top as (select max(raw) as m from bc)"
+
+
+@query(f"{_BC3} select v.id, round(coalesce(raw, 0) / m, 9) as score from v cross join top left join bc on bc.id = v.id")
+def betweenness_three_sources(spark, sf_dir):
+    """Sources' own dependencies are left out."""
+    return betweenness(ord_graph(spark, sf_dir), list(_THREE), include_source=False).select("id", F.round("score", 9).alias("score"))
+
+
+# --- the plans for large graphs, whatever the size ----------------------------------------------------------------------
+
+
+@query(ORACLES["bfs_parent"])
+def bfs_parent_by_rounds(spark, sf_dir):
+    return bfs(ord_graph(spark, sf_dir), 0, "cluster").select("id", "parent")
+
+
+@query(ORACLES["bfs_discovery_order"])
+def bfs_discovery_order_by_rounds(spark, sf_dir):
+    return discovery_order(ord_graph(spark, sf_dir), 0, "cluster")
+
+
+@query(ORACLES["shortest_paths"])
+def shortest_paths_by_buckets(spark, sf_dir):
+    return sssp(ord_graph(spark, sf_dir), 0, delta=64, engine="cluster")
+
+
+@query(ORACLES["pagerank_eps"])
+def pagerank_eps_by_rounds(spark, sf_dir):
+    return pagerank(ord_graph(spark, sf_dir), 20, 4e-4, "cluster").select("id", F.round("score", 10).alias("score"))
+
+
+@query(ORACLES["components_all_orders"])
+def components_by_rounds(spark, sf_dir):
+    return connected_components(ord_graph(spark, sf_dir), "cluster")
+
+
+@query(ORACLES["betweenness_single_source"])
+def betweenness_by_rounds(spark, sf_dir):
+    return betweenness(ord_graph(spark, sf_dir), [0], engine="cluster").select("id", F.round("score", 9).alias("score"))
+
+
 # --- mutation -----------------------------------------------------------------------------------------------------------
 
 LOG = """n as (select count(distinct user_id) as n from events),
@@ -424,6 +503,19 @@ def txns_final_vertices(spark, sf_dir):
     return apply_txns(users, spark.createDataFrame([], "src long, dst long, weight long"), log)[0]
 
 
+@query(f"""with {LOG}, c as (select l.seq, l.k, l.v, l.e, pe.ok from l join pe on pe.seq = l.seq),
+m as (select c.*, (select max(d.seq) from l d where d.k between 4 and 7 and d.v in (c.v, c.e) and d.seq < c.seq) as cut,
+  (select arg_max(struct_pack(at := p.seq, made := p.k = 8), p.seq) from c p where p.ok and p.v = c.v and p.e = c.e and p.seq < c.seq) as last from c),
+t as (select *, coalesce(last.made and (cut is null or last.at > cut), false) as there from m)
+select case when k = 8 then 'INSERT_EDGE' else 'DELETE_EDGE' end as op,
+  case when not ok then 'Fail' when k = 8 then case when there then 'Fail' else 'Inserted' end when there then 'Deleted' else 'Fail' end as status,
+  case when not ok then 'vertex not found' when k = 8 and there then 'edge exists' when k = 9 and not there then 'edge not found' end as message, count(*) as operations from t group by all""")
+def ops_edge_statuses(spark, sf_dir):
+    users, log = op_log(spark, sf_dir)
+    found = op_results(users, spark.createDataFrame([], "src long, dst long, weight long"), log)
+    return found.filter("op in ('INSERT_EDGE', 'DELETE_EDGE')").groupBy("op", "status", "message").agg(F.count("*").alias("operations"))
+
+
 # --- generators -----------------------------------------------------------------------------------------------------------
 
 
@@ -448,3 +540,20 @@ def uniform_generator(spark, sf_dir):
 def rmat_generator(spark, sf_dir):
     e = generate.rmat_edges(spark, 10)
     return e.agg(F.count("*").cast("int").alias("edges"), F.min(F.col("src").between(0, 1023) & F.col("dst").between(0, 1023)).alias("in_range"))
+
+
+@query("select count(*) as ids, count(*) as images, true as in_range from range(1000)")
+def id_permutation(spark, sf_dir):
+    """Ids 0 .. 999 under the permutation of generated graphs: every one is met once."""
+    moved = generate.permute_ids(spark.range(1000).select(F.col("id").alias("src"), F.col("id").alias("dst")), 1000)
+    return moved.agg(F.count("*").alias("ids"), F.countDistinct("src").alias("images"), F.min(F.col("src").between(0, 999) & (F.col("src") == F.col("dst"))).alias("in_range"))
+
+
+@query("select 10240 as edges, true as low_low, true as low_high, true as high_low")
+def rmat_quadrants(spark, sf_dir):
+    """Shares of the outermost quadrants before the permutation, each within three hundredths of its parameter."""
+    e = generate.rmat_edges(spark, 10, permute=False)
+    share = lambda c: F.avg(c.cast("double"))
+    low_src, low_dst = F.col("src") < 512, F.col("dst") < 512
+    near = lambda c, p: F.abs(share(c) - p) < 0.03
+    return e.agg(F.count("*").cast("int").alias("edges"), near(low_src & low_dst, generate.A).alias("low_low"), near(low_src & ~low_dst, generate.B).alias("low_high"), near(~low_src & low_dst, generate.C).alias("high_low"))

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph import queries
 from loomgraph.functions.normalise import dedup_edges
@@ -290,3 +291,49 @@ def test_components_read_every_order(spark, tmp_path):
     sizes = rows(queries.QUERIES["components_all_orders_by_size"](spark, str(tmp_path)))
     assert sum(s for _, s in sizes) == n and sum(s == 2 for _, s in sizes) == len(few)
     assert queries.QUERIES["components_all_orders_verified"](spark, str(tmp_path)).first().valid
+
+
+def test_records_are_counted_with_and_without_a_number_of_vertices(spark):
+    edges = [(1, 2, 1), (1, 2, 5), (2, 2, 1), (0, 1, 3), (-1, 2, 1)]
+    for n in (None, 3):
+        assert graph(spark, edges, num_vertices=n).num_edges_directed() == 5
+        assert graph(spark, edges, num_vertices=n, directed=False).num_edges_directed() == 10
+        assert rows(graph(spark, edges, num_vertices=n).edges) == {(1, 2, 1), (0, 1, 3)}
+
+
+def test_distances_that_only_support_each_other_are_refused(spark):
+    g = graph(spark, [(1, 2, 0), (2, 1, 0), (0, 3, 4)])
+    claimed = lambda *x: spark.createDataFrame(list(x), "id long, dist long")
+    assert not verify_sssp(g, 0, claimed((0, 0), (3, 4), (1, 5), (2, 5))).first().valid
+    assert verify_sssp(g, 0, claimed((0, 0), (3, 4))).first().valid
+    joined = graph(spark, [(1, 2, 0), (2, 1, 0), (0, 1, 4)])
+    assert verify_sssp(joined, 0, sssp(joined, 0)).first().valid
+
+
+def test_an_adjacency_can_be_emptied(tiny, spark):
+    none = tiny.edges.limit(0)
+    assert rows(tiny.replace_out_edges(none, spark.createDataFrame([(1,)], "id long")).edges) == {(3, 2, 1), (4, 2, 1), (5, 2, 1)}
+    assert rows(tiny.replace_in_edges(none, spark.createDataFrame([(2,)], "id long")).edges) == {(1, 3, 1)}
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 1000, 1024])
+def test_permutations_are_bijections(spark, n):
+    ids = spark.range(n).select(F.col("id").alias("src"), F.col("id").alias("dst"))
+    moved = [r.src for r in generate.permute_ids(ids, n, seed=4).collect()]
+    assert sorted(moved) == list(range(n))
+    if n >= 1000:
+        steps = {(b - a) % n for a, b in zip(moved, moved[1:], strict=False)}
+        assert len(steps) > n // 4 and moved != [r.src for r in generate.permute_ids(ids, n, seed=5).collect()]
+
+
+def test_tree_depth_follows_the_children(spark):
+    tree = spark.createDataFrame([(0, 9, 4), (9, 2, None), (2, None, 7), (7, None, None), (4, None, None)], "id long, left long, right long")
+    assert generate.tree_spine(tree, "left").first().depth == 2 and generate.tree_spine(tree, "right").first().depth == 1
+    assert generate.tree_spine(tree.filter("id = 4").withColumn("id", F.lit(0)), "left").first().depth == 0
+
+
+def test_rounds_read_edges_dealt_once(spark):
+    g = graph(spark, [(k, (k * 7 + 1) % 50, 1) for k in range(50)]).settled()
+    front = spark.range(50).select(F.col("id").alias("src"))
+    plan = g.edges.join(front.hint("merge"), "src").groupBy("src").count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 1, plan

@@ -204,18 +204,18 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
 
     One document in five of the sample is kept from the counts for the calibration."""
     rows = docs.filter("lang is not null and text is not null and doc_id is not null").filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
-    rows = rows.select("lang", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)).alias("o"))
+    rows = rows.select("lang", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)).alias("o"), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("place"))
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.approx_count_distinct("o").alias("n")).collect()}
     if not sizes:
         return None
-    # twice the wanted share by hash, then cut to the bound in the order of the hash; equal rows have one place in it, so
+    # twice the wanted share by hash, then cut to the bound in the order of the doc_id's hash; equal rows are one, so
     # what is collected is bounded
     share = F.lit(None).cast("long")
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1 << 30, (1 << 31) * per_language // n))).otherwise(share)
     some = rows.filter(F.col("o") < share).dropDuplicates(["lang", "o"]).collect()
     by: dict[str, list] = defaultdict(list)
-    for r in sorted(some, key=lambda r: (r.o, r.text)):
+    for r in sorted(some, key=lambda r: (r.place, r.text)):
         if len(by[r.lang]) < per_language:
             by[r.lang].append((r.lang, r.text))
     sample = [x for lang in sorted(by) for k, x in enumerate(by[lang]) if k % 5]

@@ -5,9 +5,10 @@ end as history.  Training texts are those whose crc32(doc_id as text) mod 7 is n
 
 1. All training tokens are counted, each task summing its own before the shuffle; the table of counts stays
    distributed.
-2. Bigrams of the ``CLUSTERED`` most frequent words, of the end and of "any other word" are counted over all training
-   texts.  Exchange clustering finds ``CLASSES`` classes of those words: each word in turn moves to the class that
-   gives the class bigram model the highest likelihood, until none moves or ``ROUNDS`` are over.
+2. The number of classes is ``SCALE`` times the fourth root of the number of words seen at least ``SEEN`` times, so it
+   grows with the corpus.  Bigrams of the ``PER_CLASS`` most frequent words a class, of the end and of "any other word" are
+   counted over all training texts, and exchange clustering finds the classes of those words: each word in turn moves to
+   the class that gives the class bigram model the highest likelihood, until none moves or ``ROUNDS`` are over.
 3. Every other training word seen at least ``SEEN`` times gets one of these classes: its neighbours' classes are
    counted over all training texts, and it goes where the likelihood gains most, by the same measure as in 2, against the
    classes found there.  Counts and classes stay distributed; the ``HEAD`` most frequent words go to the workers, a
@@ -39,14 +40,14 @@ from ..plans.store import stored
 from . import words as W
 
 HEAD = 200_000
-CLUSTERED = 1_000
-CLASSES = 48
+SCALE = 2.4
+PER_CLASS = 20
 ROUNDS = 8
 ALPHA = 20.0
 #: Words seen less often have no class of their own but model the unseen ones.
 SEEN = 2
 #: In a sequence of classes: a word that the workers don't know.
-OPEN = 255
+OPEN = 65_535
 #: The end's name; hashes of words are shifted away from it.
 END = np.uint64(0)
 
@@ -72,25 +73,34 @@ def _sum(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray,
     return key[cut], np.add.reduceat(count, cut) if len(key) else count
 
 
+def sizes(kinds: int) -> tuple[int, int]:
+    """Number of classes, and of words that the exchange moves, for so many words seen at least ``SEEN`` times."""
+    classes = max(1, round(SCALE * kinds**0.25))
+    return classes, PER_CLASS * classes
+
+
+def _tally(found: Iterator[np.ndarray], name: str) -> Iterator[pa.RecordBatch]:
+    """``name, c``: how often each key occurs, in all the arrays or, where there are many keys, in runs of them."""
+    keys, counts, held = [], [], 0
+    out = lambda k, c: pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c)], [name, "c"])
+    for x in found:
+        k, c = np.unique(x, return_counts=True)
+        keys, counts, held = [*keys, k], [*counts, c], held + len(k)
+        if held > 3_000_000:
+            k, c = _sum(keys, counts)
+            if len(k) > 1_500_000:
+                yield out(k, c)
+                k, c = k[:0], c[:0]
+            keys, counts, held = [k], [c], len(k)
+    if keys:
+        yield out(*_sum(keys, counts))
+
+
 def _unigrams(rows: DataFrame) -> DataFrame:
     """``word, c``: counts of all training tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, held = [], [], 0
-        out = lambda k, c: pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c)], ["word", "c"])
-        for batch in batches:
-            for chunk in W.chunks(batch.column(0), lower=True):
-                tokens, _ = _tokens(chunk)
-                k, c = np.unique(tokens, return_counts=True)
-                keys, counts, held = [*keys, k], [*counts, c], held + len(k)
-                if held > 3_000_000:
-                    k, c = _sum(keys, counts)
-                    if len(k) > 1_500_000:
-                        yield out(k, c)
-                        k, c = k[:0], c[:0]
-                    keys, counts, held = [k], [c], len(k)
-        if keys:
-            yield out(*_sum(keys, counts))
+        yield from _tally((_tokens(chunk)[0] for batch in batches for chunk in W.chunks(batch.column(0), lower=True)), "word")
 
     return rows.filter("not held_out").select("text").mapInArrow(run, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -102,15 +112,13 @@ def _bigrams(rows: DataFrame, clustered) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = clustered.value
         order = np.argsort(known)
-        total = np.zeros(size * size, np.int64)
-        for batch in batches:
-            for chunk in W.chunks(batch.column(0), lower=True):
-                tokens, _ = _tokens(chunk)
-                number = _number(tokens, known[order], order)
-                before = np.concatenate([[size - 1], number[:-1]])
-                total += np.bincount(before * size + number, minlength=size * size)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["pair", "c"])
+        ordered = known[order]
+
+        def pairs(chunk: W.Chunk) -> np.ndarray:
+            number = _number(_tokens(chunk)[0], ordered, order)
+            return np.concatenate([[size - 1], number[:-1]]) * size + number
+
+        yield from _tally((pairs(chunk) for batch in batches for chunk in W.chunks(batch.column(0), lower=True)), "pair")
 
     found = rows.filter("not held_out").select("text").mapInArrow(run, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toArrow()
     out = np.zeros(size * size)
@@ -272,11 +280,13 @@ def vocabulary(rows: DataFrame) -> tuple[DataFrame, dict]:
     """The distributed table ``word, c, class`` of all but the clustered words, and what workers need, of fixed size."""
     sc = rows.sparkSession.sparkContext
     counts = stored(_unigrams(rows), "unigrams")
-    whole = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.sum(F.when(F.col("word") == 0, F.col("c"))), F.lit(0)).alias("ends")).first()
-    top = counts.filter((F.col("word") != 0) & (F.col("c") >= SEEN)).orderBy(F.desc("c"), "word").limit(min(HEAD, CLUSTERED)).toArrow()
+    often = (F.col("word") != 0) & (F.col("c") >= SEEN)
+    whole = counts.agg(F.count_if(often).alias("often"), F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.sum(F.when(F.col("word") == 0, F.col("c"))), F.lit(0)).alias("ends")).first()
+    classes, moved = sizes(whole.often)
+    top = counts.filter(often).orderBy(F.desc("c"), "word").limit(min(HEAD, moved)).toArrow()
     core, core_c = top.column("word").to_numpy().view(np.uint64), top.column("c").to_numpy().astype(np.int64)
     bigrams = _bigrams(rows, sc.broadcast(core))
-    classes = max(1, min(CLASSES, len(core)))
+    classes = max(1, min(classes, len(core)))
     of = exchange(bigrams, classes, ROUNDS)
     member = np.zeros((len(of), classes + 2))
     member[np.arange(len(of)), of] = 1
@@ -307,15 +317,15 @@ def vocabulary(rows: DataFrame) -> tuple[DataFrame, dict]:
 
 
 def _flat(sequences: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of a binary column, and the borders between rows."""
+    """Classes in a binary column, two bytes each, and the borders between rows."""
     _, edge, data = sequences.buffers()
     edge = np.frombuffer(edge, np.int32)[sequences.offset : sequences.offset + len(sequences) + 1].astype(np.int64)
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    return data[edge[0] : edge[-1]], edge - edge[0]
+    return data[edge[0] : edge[-1]].view(np.uint16), (edge - edge[0]) // 2
 
 
 def _binary(flat: np.ndarray, border: np.ndarray) -> pa.Array:
-    return pa.Array.from_buffers(pa.binary(), len(border) - 1, [None, pa.py_buffer(border.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(flat))])
+    return pa.Array.from_buffers(pa.binary(), len(border) - 1, [None, pa.py_buffer((2 * border).astype(np.int32)), pa.py_buffer(flat.astype(np.uint16))])
 
 
 _TAGGED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, emit double, classes binary, rare array<long>, place array<int>"
@@ -323,7 +333,7 @@ _TAGGED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long,
 
 def tagged(rows: DataFrame, table: DataFrame, model: dict) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, base, emit, classes``: of every document the add-one score, log10 of its
-    words' emissions, and a byte for each token that names its class."""
+    words' emissions, and two bytes for each token that name its class."""
     sc = rows.sparkSession.sparkContext
     shared = sc.broadcast(model)
     other = model["other"]
@@ -352,7 +362,7 @@ def tagged(rows: DataFrame, table: DataFrame, model: dict) -> DataFrame:
                 number += chunk.n
                 part = batch.slice(chunk.first, chunk.n)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids), part.column(0), part.column(1), pa.array(np.diff(border)), pa.array(seen), pa.array(total[:, 0]), pa.array(total[:, 1]), _binary(of.astype(np.uint8), border), pa.ListArray.from_arrays(edge, pa.array(tokens[rare].view(np.int64))), pa.ListArray.from_arrays(edge, pa.array((rare - border[doc]).astype(np.int32)))],
+                    [pa.array(ids), part.column(0), part.column(1), pa.array(np.diff(border)), pa.array(seen), pa.array(total[:, 0]), pa.array(total[:, 1]), _binary(of, border), pa.ListArray.from_arrays(edge, pa.array(tokens[rare].view(np.int64))), pa.ListArray.from_arrays(edge, pa.array((rare - border[doc]).astype(np.int32)))],
                     [x.split()[0] for x in _TAGGED.split(", ")],
                 )
 
@@ -421,7 +431,7 @@ def score(docs: DataFrame) -> DataFrame:
         for batch in batches:
             if len(batch):
                 flat, border = _flat(batch.column(6))
-                before = np.concatenate([np.full(1, len(step) - 1, np.uint8), flat[:-1]])
+                before = np.concatenate([np.full(1, len(step) - 1, np.uint16), flat[:-1]])
                 total = batch.column(5).to_numpy() + W.per_doc(step[before, flat], border)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(total)], batch.schema.names[:6])
 

@@ -86,9 +86,9 @@ def _tally(found: Iterator[np.ndarray], name: str) -> Iterator[pa.RecordBatch]:
     for x in found:
         k, c = np.unique(x, return_counts=True)
         keys, counts, held = [*keys, k], [*counts, c], held + len(k)
-        if held > 3_000_000:
+        if held > 1_000_000:
             k, c = _sum(keys, counts)
-            if len(k) > 1_500_000:
+            if len(k) > 500_000:
                 yield out(k, c)
                 k, c = k[:0], c[:0]
             keys, counts, held = [k], [c], len(k)

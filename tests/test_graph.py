@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -337,3 +338,15 @@ def test_rounds_read_edges_dealt_once(spark):
     front = spark.range(50).select(F.col("id").alias("src"))
     plan = g.edges.join(front.hint("merge"), "src").groupBy("src").count()._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") <= 1, plan
+
+
+def test_triangles_of_a_dense_graph_with_a_hub(spark):
+    rng = np.random.default_rng(5)
+    edges = {(int(a), int(b)) for a, b in rng.integers(0, 25, (160, 2)) if a != b} | {(12, k) for k in range(25) if k != 12} | {(k, 12) for k in range(20, 25)}
+    both = edges | {(b, a) for a, b in edges}
+    plain = sum((u, v) in both and (v, w) in both and (u, w) in both for u in range(25) for v in range(u) for w in range(v))
+    ordered = sum((u, v) in edges and (v, w) in edges and (u, w) in edges for u in range(25) for v in range(u) for w in range(v))
+    g = graph(spark, sorted(edges))
+    assert plain > ordered > 0
+    assert triangle_count(g).first()[0] == plain and triangle_count_ordered(g).first()[0] == ordered
+    assert verify_triangles(g, plain).first().valid and not verify_triangles(g, plain + 1).first().valid

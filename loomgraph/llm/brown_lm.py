@@ -48,6 +48,8 @@ ALPHA = 20.0
 SEEN = 2
 #: In a sequence of classes: a word that the workers don't know.
 OPEN = 65_535
+#: Size of a worker's tables of words by classes.
+CELLS = 200_000
 #: The end's name; hashes of words are shifted away from it.
 END = np.uint64(0)
 
@@ -244,7 +246,9 @@ def _classes(rows: DataFrame, core: np.ndarray, of: np.ndarray, m: np.ndarray) -
                 yield pa.RecordBatch.from_arrays([pa.array(word[cut].view(np.int64)), pa.array(pair[cut].astype(np.int32)), pa.array(np.diff(np.append(cut, len(word))))], ["word", "pair", "c"])
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.forget()
         m = known.value[2]
+        step = max(500, CELLS // total)
         word, pair, c = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
         def out(word, pair, c):
@@ -259,8 +263,8 @@ def _classes(rows: DataFrame, core: np.ndarray, of: np.ndarray, m: np.ndarray) -
             return pa.RecordBatch.from_arrays([pa.array(words), pa.array(times), pa.array(cls.astype(np.int32))], ["word", "c", "class"])
 
         for batch in batches:
-            for k in range(0, batch.num_rows, 10_000):
-                part = batch.slice(k, 10_000)
+            for k in range(0, batch.num_rows, step):
+                part = batch.slice(k, step)
                 word, pair, c = (np.concatenate([x, part.column(i).to_numpy().astype(np.int64)]) for i, x in enumerate((word, pair, c)))
                 last = int(np.searchsorted(word, word[-1]))  # the last word may go on in the next rows
                 if last:

@@ -262,8 +262,8 @@ def _answers(docs: DataFrame, parts: int) -> DataFrame:
         if rows:
             yield told(rows)
 
-    asked = _text_of(docs).mapInArrow(ask, _Requests.SCHEMA).repartitionById(parts, F.col("part"))
-    return stored(asked.mapInArrow(answer, "chunk long, t binary, f binary, c binary, d binary, ids binary, keys binary, sizes binary, fresh binary, wide binary"), "shared")
+    asked = _text_of(docs).mapInArrow(W.lean(ask), _Requests.SCHEMA).repartitionById(parts, F.col("part"))
+    return stored(asked.mapInArrow(W.lean(answer), "chunk long, t binary, f binary, c binary, d binary, ids binary, keys binary, sizes binary, fresh binary, wide binary"), "shared")
 
 
 def _survey(answers: DataFrame) -> DataFrame:
@@ -277,7 +277,7 @@ def _survey(answers: DataFrame) -> DataFrame:
                 doc_id = _unpack(ids[: len(ids) - len(size)], np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(doc_id, mask=none), pa.array(_unpack(keys, np.int64), mask=size == 0), pa.array(size)], ["doc_id", "key", "n"])
 
-    return answers.filter("ids is not null").select("ids", "keys", "sizes").mapInArrow(run, "doc_id long, key long, n long")
+    return answers.filter("ids is not null").select("ids", "keys", "sizes").mapInArrow(W.lean(run), "doc_id long, key long, n long")
 
 
 def _whole_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
@@ -370,7 +370,7 @@ def _prefixes(answers: DataFrame, parts: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(key), *small, pa.ListArray.from_arrays(edge, pa.array(tokens.view(np.int64))), pa.ListArray.from_arrays(edge, pa.array(often))], ["key", "n", "l", "spare", "before", "prefix", "frequency"])
 
     rows = answers.repartitionById(parts, F.pmod("chunk", F.lit(parts)).cast("int")).sortWithinPartitions("chunk")
-    return stored(rows.mapInArrow(run, schema), "prefixes")
+    return stored(rows.mapInArrow(W.lean(run), schema), "prefixes")
 
 
 _POSTING = np.dtype([("t", "<u8"), ("key", "<i8"), ("root", "<i8"), ("n", "<i4"), ("most", "<i4"), ("l", "<i2"), ("g", "<i4"), ("x", "<i4"), ("y", "<i4"), *((f"s{k}", "<u8") for k in range(4)), ("e", "<i4"), ("place", "<i4"), ("spare", "<i2"), ("long", "<i2")])
@@ -497,7 +497,7 @@ def _postings(prefixes: DataFrame, parts: int, star: int | None, mixed=None) ->
         return pa.RecordBatch.from_arrays([pa.array(to[cut].astype(np.int32)), pa.array([_packed(p[a:b]) for a, b in zip(cut, ends, strict=True)], pa.binary())], ["part", "postings"])
 
     rows = prefixes.select("key", "n", "l", "spare", "before", "prefix", "frequency", "root")
-    return rows.mapInArrow(run, "part int, postings binary").repartitionById(parts, F.col("part"))
+    return rows.mapInArrow(W.lean(run), "part int, postings binary").repartitionById(parts, F.col("part"))
 
 
 def _mixed(prefixes: DataFrame):
@@ -516,7 +516,7 @@ def _mixed(prefixes: DataFrame):
                 low[t] = min(a, r), max(b, r)
         yield pa.RecordBatch.from_arrays([pa.array(list(low), pa.int64()), pa.array([x[0] for x in low.values()], pa.int64()), pa.array([x[1] for x in low.values()], pa.int64())], ["t", "a", "b"])
 
-    ends = prefixes.select("root", "prefix", "frequency").mapInArrow(run, "t long, a long, b long")
+    ends = prefixes.select("root", "prefix", "frequency").mapInArrow(W.lean(run), "t long, a long, b long")
     found = settle(ends.groupBy("t").agg(F.min("a").alias("a"), F.max("b").alias("b")).filter("a < b").select("t"))
     if found.count() > MIXED:
         return None
@@ -633,7 +633,7 @@ def _rooted(prefixes: DataFrame, roots: DataFrame | None) -> DataFrame:
             for batch in batches:
                 yield batch.filter(pa.array(_may_hold(known.value, batch.column(0).to_numpy()) == wanted))
 
-        return prefixes.mapInArrow(run, prefixes.schema)
+        return prefixes.mapInArrow(W.lean(run), prefixes.schema)
 
     joined = sift(True).join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     return sift(False).withColumn("root", F.col("key")).unionByName(joined)
@@ -656,7 +656,7 @@ def _linked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                     lists = pa.ListArray.from_arrays(pa.array(border.astype(np.int32)), pa.array(flat.view(np.int64)))
                     yield pa.RecordBatch.from_arrays([pa.array(sets.key[fresh]), lists], ["key", "shingles"])
 
-    rows = _text_of(docs).mapInArrow(run, "key long, shingles array<long>")
+    rows = _text_of(docs).mapInArrow(W.lean(run), "key long, shingles array<long>")
     sets = rows.groupBy("key").agg(F.first("shingles").alias("shingles"))
     one = pairs.select("a", "b").join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a")
     two = one.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb")), "b")
@@ -673,7 +673,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     hottest = prefixes.agg(F.max(F.array_max("frequency"))).first()[0] or 0
     while hottest >= HOT:
         with_root = _rooted(prefixes, roots)
-        pairs = settle(_postings(with_root, parts, star).mapInArrow(_stars, _PAIRS).select("a", "b").distinct())
+        pairs = settle(_postings(with_root, parts, star).mapInArrow(W.lean(_stars), _PAIRS).select("a", "b").distinct())
         found = settle(_linked(docs, pairs))
         edges = found if edges is None else edges.union(found)
         roots = min_labels(edges, "a", "b").select(F.col("id").alias("key"), F.col("label").alias("root"))
@@ -682,7 +682,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             break
     with_root = _rooted(prefixes, roots)
     mixed = _mixed(with_root) if hottest >= GROUP else None
-    pairs = _postings(with_root, parts, None, mixed).mapInArrow(_all_pairs, _PAIRS).groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("least").alias("least"))
+    pairs = _postings(with_root, parts, None, mixed).mapInArrow(W.lean(_all_pairs), _PAIRS).groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("least").alias("least"))
     found = settle(_linked(docs, settle(pairs.filter("c >= least").select("a", "b"))))
     edges = found if edges is None else edges.union(found)
     return _survey(answers), min_labels(edges, "a", "b").select(F.col("id").alias("key"), F.col("label").alias("root"))

@@ -41,6 +41,8 @@ MODEL_TYPE, UNIGRAM, BPE = 3, 1, 2
 RULES_NAME, CHARSMAP, DUMMY_PREFIX, EXTRA_BLANKS, ESCAPE_BLANKS = 1, 2, 3, 4, 5
 #: Fixed value: how far the score of a character without a piece lies below the lowest one.
 UNKNOWN_PENALTY = 10.0
+#: Bounds of what a worker remembers: pairs of pieces (some 100 bytes each) and words (some 60).  They only save time.
+PAIRS, WORDS = 500_000, 500_000
 
 
 def _fields(raw: bytes) -> dict[int, int | bytes]:
@@ -145,7 +147,10 @@ class Model:
             for a, b in zip(codes[:-1], codes[1:], strict=True):
                 if a < 128 and b < 128:
                     self.joined[a, b] = True
-        self.follows: dict[tuple[str, str], bool] = {}
+        #: Whether a piece may follow another, by the numbers of both: a piece's id, beyond them a character that is none,
+        #: last the beginning of a word.
+        self.follows: dict[int, bool] = {}
+        self.head = n + 0x110000
 
     def merged(self, text: str) -> list[str]:
         """The segmentation of a string by merging, best score first, leftmost among equals."""
@@ -161,12 +166,10 @@ class Model:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def may_follow(self, a: str, b: str) -> bool:
-        key = (a, b)
-        if (known := self.follows.get(key)) is None:
-            known = self.follows[key] = self.merged(a + b) == [p for p in key if p]
-            if len(self.follows) > 2_000_000:
-                self.follows.clear()
+    def may_follow(self, key: int, a: str, b: str) -> bool:
+        if len(self.follows) >= PAIRS:
+            self.follows.clear()
+        known = self.follows[key] = self.merged(a + b) == [p for p in (a, b) if p]
         return known
 
     def ids(self, piece: str) -> list[int]:
@@ -180,10 +183,10 @@ class Model:
             for parts in self.unigram.walk(words):
                 yield [i for s in parts for i in self.ids(s)]
             return
-        # forward state of prefix k: where its last piece begins, and that piece
-        state: list[tuple[int, str]] = [(0, "")]
+        # forward state of prefix k: where its last piece begins, and that piece's number
+        state: list[tuple[int, int]] = [(0, self.head)]
         before = ""
-        piece, longest, may_follow = self.piece, self.longest, self.may_follow
+        piece, longest, follows, n = self.piece, self.longest, self.follows, len(self.score)
         for word in words:
             k = 0
             most = min(len(before), len(word))
@@ -193,25 +196,32 @@ class Model:
             for end in range(k + 1, len(word) + 1):
                 for begin in range(max(0, end - longest), end):
                     s = word[begin:end]
-                    if end - begin > 1 and s not in piece:
-                        continue
-                    if may_follow(state[begin][1], s):
-                        state.append((begin, s))
+                    if (number := piece.get(s)) is None:
+                        if end - begin > 1:
+                            continue
+                        number = n + ord(s)
+                    at, last = state[begin]
+                    key = last * (self.head + 1) + number
+                    if (known := follows.get(key)) is None:
+                        known = self.may_follow(key, word[at:begin], s)
+                    if known:
+                        state.append((begin, number))
                         break
                 else:
                     raise AssertionError(f"no segmentation of {word[:end]!r}")
             before = word
-            at, parts = len(word), []
-            while at:
-                at, s = state[at]
-                parts.append(s)
-            yield [i for s in reversed(parts) for i in self.ids(s)]
+            end, parts = len(word), []
+            while end:
+                begin, number = state[end]
+                parts.append([number] if number < n else self.ids(word[begin:end]))
+                end = begin
+            yield [i for ids in reversed(parts) for i in ids]
 
 
 class Codec:
     def __init__(self, path: str):
         self.model = Model(path)
-        self.memo, self.ids = W.Memo(), W.Ragged(np.int32)
+        self.memo, self.ids = W.Memo(WORDS), W.Ragged(np.int32)
         length = np.array([len(b) for b in self.model.bytes_of], np.int64)
         self.text_flat = np.frombuffer(b"".join(self.model.bytes_of), np.uint8)
         self.text_length, self.text_begin = length, np.cumsum(length) - length
@@ -237,8 +247,7 @@ class Codec:
         first = np.searchsorted(starts, chunk.offs)
         hashes = W.hash_spans(d, starts, ends)
         if self.memo.count > self.memo.limit:
-            self.memo.clear()
-            self.ids.clear()
+            self.ids.keep(self.memo.shrink())
         raw = d.tobytes()
         slots = self.memo.slots_of(hashes, lambda i: self._learn([raw[a:b] for a, b in zip(starts[i], ends[i], strict=True)]))
         flat, border = W.gather(self.ids.flat, self.ids.begin[slots], self.ids.length[slots])
@@ -260,6 +269,7 @@ class Codec:
 def _codec(path: str) -> Codec:
     key = ("spm", path)
     if key not in W.KEPT:
+        W.forget()
         W.KEPT[key] = Codec(path)
     return W.KEPT[key]
 
@@ -280,7 +290,7 @@ def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
                 col = pa.ListArray.from_arrays(pa.array(border.astype(np.int32)), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, chunk.n), col], ["doc_id", "ids"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, ids array<int>")
+    return _texts(docs).mapInArrow(W.lean(run), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
@@ -298,7 +308,7 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), col, text], ["doc_id", "ids", "text"])
 
     whole = encoded.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
-    return whole.mapInArrow(run, "doc_id long, ids array<int>, text string")
+    return whole.mapInArrow(W.lean(run), "doc_id long, ids array<int>, text string")
 
 
 def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -321,4 +331,4 @@ def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
                 sha = [hashlib.sha256(x).hexdigest() for x in back]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, chunk.n), pa.array(np.diff(border)), pa.array(crc, pa.int64()), pa.array(sha, pa.string()), pa.array(same, pa.bool_())], ["doc_id", "n_pieces", "ids_crc32", "decoded_sha256", "round_trip"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string, round_trip boolean")
+    return _texts(docs).mapInArrow(W.lean(run), "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string, round_trip boolean")

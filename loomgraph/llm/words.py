@@ -125,7 +125,7 @@ def gather(flat: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.
 class Memo:
     """Sorted hash array of words already seen by this worker, with one slot number for each.
 
-    It is only a cache: past ``limit`` words it starts anew."""
+    It is only a cache: past ``limit`` words it starts anew, or with those that were met again (:meth:`shrink`)."""
 
     def __init__(self, limit: int = 3_000_000):
         self.limit = limit
@@ -133,6 +133,22 @@ class Memo:
 
     def clear(self) -> None:
         self.keys, self.slots, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+        #: By slot: whether a later call met the word again.
+        self.again = np.zeros(0, bool)
+
+    def shrink(self) -> np.ndarray:
+        """Forget the words that no later call met; of the others the slots that they had, now numbered in this order.
+
+        All are forgotten if the others are more than half of the limit."""
+        kept = np.flatnonzero(self.again)
+        if len(kept) > self.limit // 2:
+            kept = kept[:0]
+        stay = np.zeros(self.count, bool)
+        stay[kept] = True
+        mine = stay[self.slots]
+        self.keys, self.slots, self.count = self.keys[mine], (np.cumsum(stay) - 1)[self.slots[mine]], len(kept)
+        self.again = np.zeros(len(kept), bool)
+        return kept
 
     def slots_of(self, hashes: np.ndarray, learn: Callable[[np.ndarray], None]) -> np.ndarray:
         """A slot for each hash. ``learn(i)`` gets indices into ``hashes``, one for each unseen word, and
@@ -143,6 +159,8 @@ class Memo:
         head[1:] = s[1:] != s[:-1]
         unique, example = s[head], order[head]
         at, known = find(self.keys, unique)
+        if known.any():
+            self.again[self.slots[at[known]]] = True
         if not known.all():
             learn(example[~known])
             new = unique[~known]
@@ -150,6 +168,7 @@ class Memo:
             slots = np.concatenate([self.slots, np.arange(self.count, self.count + len(new))])
             by = np.argsort(keys, kind="stable")
             self.keys, self.slots, self.count = keys[by], slots[by], self.count + len(new)
+            self.again = np.concatenate([self.again, np.zeros(len(new), bool)])
             at, _ = find(self.keys, unique)
         out = np.empty(len(hashes), np.int64)
         out[order] = self.slots[at][np.cumsum(head) - 1]
@@ -176,18 +195,42 @@ class Ragged:
         self.length = np.concatenate([self.length, length.astype(np.int64)])
         self.used += len(flat)
 
+    def keep(self, places: np.ndarray) -> None:
+        """Only the sequences at these places, in their order."""
+        flat, border = gather(self.flat, self.begin[places], self.length[places])
+        self.clear()
+        self.extend(flat, np.diff(border))
+
 
 #: What a worker keeps between tasks, by operator and parameters.
 KEPT: dict = {}
 
 
-def forget() -> None:
-    """Drop what operators before this one kept in the worker, and give free memory back to the system."""
+def release() -> None:
+    """Give free memory back to the system."""
     import ctypes
 
-    if KEPT:
-        KEPT.clear()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library keeps its memory
         pass
+
+
+def forget() -> None:
+    """Drop what operators before this one kept in the worker, and give free memory back to the system."""
+    KEPT.clear()
+    release()
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, which gives its free memory back when a task ends: an executor has more workers than cores,
+    and those that wait hold what their last task left."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return whole
